@@ -12,6 +12,7 @@ MODULES = (
     "op1_byte_bpe",
     "op2_harmonic_packing",
     "op5_secret_scan",
+    "op6_string_kernel",
     "op10_bbit_minhash",
 )
 
