@@ -105,8 +105,9 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 def _candidates(members: DataFrame, most: int | None, cut: float, threshold: int) -> DataFrame:
     """Pairs a < b of differently labelled members of a group whose estimate reaches ``cut``.
 
-    members: slot, side, class_id, label, n_shingles, sig. For each member its ``most``
-    likeliest partners that come earlier in the group (None: all).
+    members: slot, side, class_id, label, n_shingles, sig; side is 2 in a block of its own, else
+    that of two blocks. For each member its ``most`` likeliest partners that come earlier in the
+    block or stand on the lower side (None: all).
     """
     schema = "a long, b long"
     target = _arrow_schema(members.sparkSession, schema)
@@ -120,11 +121,11 @@ def _candidates(members: DataFrame, most: int | None, cut: float, threshold: int
             firsts = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)]])
             a, b = [], []
             for lo, hi in zip(firsts[:-1], firsts[1:], strict=True):
-                two_sided = side[lo] != side[hi - 1]
-                for i in range(lo + 1, hi):
-                    end = np.searchsorted(side[lo:hi], 1) + lo if two_sided else i
-                    if two_sided and i < end:
-                        continue
+                if side[lo] != 2 and side[lo] == side[hi - 1]:
+                    continue  # one side of two blocks is empty
+                edge = int(np.searchsorted(side[lo:hi], 1)) + lo if side[lo] == 0 else 0
+                for i in range(max(lo + 1, edge), hi):
+                    end = edge or i
                     near = likeness(sigs[lo:end], sigs[i])
                     fit = near >= cut
                     fit &= labels[lo:end] != labels[i]
@@ -228,7 +229,7 @@ def near_duplicates(
     for most in (1, 16, None):
         if labels is None:
             at = members.withColumn("label", F.col("class_id")).withColumn("i", block).withColumn("j", block)
-            at = at.withColumn("side", F.lit(0))
+            at = at.withColumn("side", F.lit(2))
         else:
             told = members.join(labels, members.class_id == labels.node, "left").withColumn(
                 "label", F.coalesce("component", "class_id")
@@ -238,7 +239,7 @@ def near_duplicates(
             # each member meets every block once: as the lower or the upper side of the pair
             at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             at = at.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-            at = at.withColumn("side", (F.col("own") == F.col("j")).cast("int") * (F.col("i") < F.col("j")).cast("int"))
+            at = at.withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
         pairs = _candidates(
             at.select(slot.alias("slot"), "side", "class_id", "label", "n_shingles", "sig"), most, cut, threshold
         )

@@ -13,6 +13,7 @@ MODULES = (
     "op2_harmonic_packing",
     "op5_secret_scan",
     "op6_string_kernel",
+    "op9_pivot_permutation",
     "op10_bbit_minhash",
 )
 
