@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "op1_byte_bpe",
     "op2_harmonic_packing",
+    "op3_quartile_digest",
     "op5_secret_scan",
     "op6_string_kernel",
+    "op8_line_winnowing",
     "op9_pivot_permutation",
     "op10_bbit_minhash",
 )
