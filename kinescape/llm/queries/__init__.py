@@ -14,6 +14,7 @@ MODULES = (
     "op3_quartile_digest",
     "op5_secret_scan",
     "op6_string_kernel",
+    "op7_attention_lm",
     "op8_line_winnowing",
     "op9_pivot_permutation",
     "op10_bbit_minhash",
