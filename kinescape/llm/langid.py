@@ -135,23 +135,29 @@ def fit(
     return KernelModel(languages, codes, weights.astype(np.float32), sharpness)
 
 
-def predict(df: DataFrame, model: KernelModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, lang_pred, score (0 to 1) of every row, from the whole text alone.
+def predict(
+    df: DataFrame, model: KernelModel, key: str = "doc_id", text: str = "text", carry: bool = False
+) -> DataFrame:
+    """``key`` (or with ``carry`` all columns), lang_pred, score (0 to 1) of every row, from the whole text alone.
 
     A null text or one without a letter is ``und`` with score 0, as is every text if nothing
-    was learned. Equal texts get equal answers; null keys and repeated rows are kept.
+    was learned. Equal texts get equal answers; null keys and repeated rows are kept. Columns
+    that already have the new names are replaced.
     """
-    kind = dict(df.dtypes)[key]
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")] if carry else [key]
+    place = len(kept)
 
     def work(batch):
         for part in slices(batch, 256):
-            texts = part.column(1).to_pylist()
+            texts = part.column(place).to_pylist()
             use = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
             names, scores = [NO_LANGUAGE] * len(texts), [0.0] * len(texts)
             if use:
                 p = model.scores([texts[i] for i in use])
                 for i, k, s in zip(use, p.argmax(axis=1), p.max(axis=1), strict=True):
                     names[i], scores[i] = model.languages[k], float(min(max(s, 0.0), 1.0))
-            yield {key: part.column(0), "lang_pred": names, "score": scores}
+            yield {c: part.column(i) for i, c in enumerate(kept)} | {"lang_pred": names, "score": scores}
 
-    return arrow_rows(df.select(key, text), f"`{key}` {kind}, lang_pred string, score double", work)
+    kinds = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in kept)
+    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("__text"))
+    return arrow_rows(source, f"{kinds}, lang_pred string, score double", work)

@@ -130,8 +130,9 @@ def drop_repeated(df: DataFrame, least_words: int = 50, key: str = "doc_id", tex
     occurrence stays. Lines are compared by their words; empty lines count for nothing and go
     with the run around them. A null text stays null with no
     lines; rows equal in key and text are one text and all keep what it keeps. Rows of a null
-    key come after all others.
+    key come after all others. Columns named n_lines or n_dropped are replaced.
     """
+    df = df.drop("n_lines", "n_dropped")
     names = [*df.columns]
     place = f"__{text}_place"
 

@@ -12,6 +12,7 @@ MODULES = (
     "op1_byte_bpe",
     "op2_harmonic_packing",
     "op3_quartile_digest",
+    "op4_license_scan",
     "op5_secret_scan",
     "op6_string_kernel",
     "op7_attention_lm",
