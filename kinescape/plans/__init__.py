@@ -1,0 +1,19 @@
+"""All registered queries of the measuring operators, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from kinescape.plans import relational
+
+    return dict(relational.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from kinescape.plans import relational
+
+    return dict(relational.SQL)
