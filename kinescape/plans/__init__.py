@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from kinescape.plans import relational
+def _modules():
+    from kinescape.plans import images, relational, streams
 
-    return dict(relational.QUERIES)
+    return relational, images, streams
 
 
-def oracle_sql() -> dict[str, str]:
-    from kinescape.plans import relational
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for module in _modules() for name, f in module.QUERIES.items()}
 
-    return dict(relational.SQL)
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _modules() for name, sql in module.SQL.items()}
