@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from kinescape.llm.common import _arrow_schema, arrow_rows, components, slices, stored
 from kinescape.llm.words import shingles
 
-#: Minima of a signature, rows of a band, and low bits kept of each minimum.
-MINIMA, ROWS, BITS = 128, 5, 4
+#: Minima of a signature, bands and their rows, and low bits kept of each minimum.
+MINIMA, BANDS, ROWS, BITS = 256, 32, 6, 4
+#: Standard errors of the estimate below the threshold at which a pair is still checked.
+ERRORS = 3.5
 #: Members of a bucket that are compared in one group.
 BLOCK = 256
 _NIBBLES = np.uint64(0x1111111111111111)
@@ -72,7 +74,7 @@ def sketch(df: DataFrame, width: int, key: str = "doc_id", text: str = "text") -
                 bands.append(
                     [
                         xxhash.xxh64_intdigest(low[i : i + ROWS].tobytes(), seed=i) - (1 << 63)
-                        for i in range(0, MINIMA - ROWS + 1, ROWS)
+                        for i in range(0, BANDS * ROWS, ROWS)
                     ]
                 )
             yield {"doc_id": part.column(0), "n_shingles": counts, "set_id": ids, "sig": sigs, "bands": bands}
@@ -102,12 +104,12 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield left
 
 
-def _candidates(members: DataFrame, most: int | None, cut: float, threshold: int) -> DataFrame:
-    """Pairs a < b of differently labelled members of a group whose estimate reaches ``cut``.
+def _candidates(members: DataFrame, cut: float, threshold: int, spread: bool) -> DataFrame:
+    """Pairs a < b of a group whose estimate reaches ``cut``.
 
     members: slot, side, class_id, label, n_shingles, sig; side is 2 in a block of its own, else
-    that of two blocks. For each member its ``most`` likeliest partners that come earlier in the
-    block or stand on the lower side (None: all).
+    that of two blocks. Without ``spread``, a member and its likeliest partner that comes
+    earlier; with it, each two different labels of which some members meet.
     """
     schema = "a long, b long"
     target = _arrow_schema(members.sparkSession, schema)
@@ -119,7 +121,7 @@ def _candidates(members: DataFrame, most: int | None, cut: float, threshold: int
             sizes, side = table.column("n_shingles").to_numpy(), table.column("side").to_numpy()
             sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u8").reshape(len(ids), -1)
             firsts = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)]])
-            a, b = [], []
+            out: set[tuple[int, int]] = set()
             for lo, hi in zip(firsts[:-1], firsts[1:], strict=True):
                 if side[lo] != 2 and side[lo] == side[hi - 1]:
                     continue  # one side of two blocks is empty
@@ -127,22 +129,92 @@ def _candidates(members: DataFrame, most: int | None, cut: float, threshold: int
                 for i in range(max(lo + 1, edge), hi):
                     end = edge or i
                     near = likeness(sigs[lo:end], sigs[i])
-                    fit = near >= cut
-                    fit &= labels[lo:end] != labels[i]
+                    fit = (near >= cut) & (labels[lo:end] != labels[i])
                     fit &= 100 * np.minimum(sizes[lo:end], sizes[i]) >= threshold * np.maximum(sizes[lo:end], sizes[i])
-                    found = np.flatnonzero(fit)
-                    if most is not None and len(found) > most:
-                        found = found[np.argsort(-near[found], kind="stable")[:most]]
-                    for j in found + lo:
-                        a.append(min(ids[i], ids[j]))
-                        b.append(max(ids[i], ids[j]))
-            if a:
+                    if not fit.any():
+                        continue
+                    if spread:
+                        own = int(labels[i])
+                        out.update((min(own, x), max(own, x)) for x in np.unique(labels[lo:end][fit]).tolist())
+                    else:
+                        j = lo + int(np.where(fit, near, -1.0).argmax())
+                        out.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+            if out:
+                a, b = zip(*sorted(out), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=target)
 
     dealt = members.repartition("slot").sortWithinPartitions("slot", "side", "class_id")
     return dealt.mapInArrow(run, schema).where("a <> b").distinct()
 
 
+def _shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int((q[at] == p).sum())
+
+
+def _joined(pairs: DataFrame, labelled: DataFrame, cut: float, threshold: int) -> DataFrame:
+    """a, b of the pairs of labels of which some members link by their full sets.
+
+    The smaller label's members go to the larger one's, in blocks of either side; what a block
+    finds is one row for each two labels, however many members link.
+    """
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    by = lambda c: sizes.select(F.col("label").alias(c), F.col("n").alias(f"n_{c}"))
+    told = pairs.join(by("a"), "a").join(by("b"), "b")
+    larger = F.struct("n_b", "b") > F.struct("n_a", "a")
+    told = told.select(F.when(larger, F.col("b")).otherwise(F.col("a")).alias("big"), F.when(larger, F.col("a")).otherwise(F.col("b")).alias("label"))
+    small = told.join(labelled, "label")
+    own = labelled.withColumnRenamed("label", "big").join(told.select("big").distinct(), "big").withColumn("label", F.col("big"))
+    count = lambda d, n: d.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).alias(n))
+    blocks = count(small, "rows").join(count(own, "columns"), "big")
+    at = F.xxhash64("class_id", "big")
+
+    def side(df: DataFrame, number: int, mine: str, other: str) -> DataFrame:
+        placed = df.join(blocks, "big").withColumn("own", F.pmod(at, F.col(mine)))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        cell = ("own", "other") if number == 0 else ("other", "own")
+        return placed.select(
+            F.xxhash64("big", *cell).alias("slot"), F.lit(number).alias("side"), "big", "label", "class_id", "items", "sig"
+        )
+
+    both = side(small, 0, "rows", "columns").unionByName(side(own, 1, "columns", "rows"))
+    schema = "a long, b long"
+    target = _arrow_schema(pairs.sparkSession, schema)
+
+    def run(batches):
+        for table in _runs(batches, "slot"):
+            slot, sides = table.column("slot").to_numpy(), table.column("side").to_numpy()
+            labels, big = table.column("label").to_numpy(), table.column("big").to_numpy()
+            items = [np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()]
+            sizes = np.array([len(x) for x in items])
+            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u8").reshape(len(items), -1)
+            firsts = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)]])
+            out: set[tuple[int, int]] = set()
+            for lo, hi in zip(firsts[:-1], firsts[1:], strict=True):
+                edge = int(np.searchsorted(sides[lo:hi], 1)) + lo
+                for i in range(lo, edge):
+                    link = (int(min(labels[i], big[lo])), int(max(labels[i], big[lo])))
+                    if link in out:
+                        continue
+                    near = likeness(sigs[edge:hi], sigs[i])
+                    fit = (near >= cut) & (100 * np.minimum(sizes[edge:hi], sizes[i]) >= threshold * np.maximum(sizes[edge:hi], sizes[i]))
+                    for j in edge + np.flatnonzero(fit)[np.argsort(-near[fit], kind="stable")]:
+                        n = _shared(items[i], items[j])
+                        if 100 * n >= threshold * (sizes[i] + sizes[j] - n):
+                            out.add(link)
+                            break
+            if out:
+                a, b = zip(*sorted(out), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=target)
+
+    dealt = both.repartition("slot").sortWithinPartitions("slot", "side", "class_id")
+    return dealt.mapInArrow(run, schema).distinct()
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """a, b of the pairs whose full sets reach the threshold, by whole numbers."""
     both = (
@@ -156,11 +228,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             good = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                shared = int((q[at] == p).sum())
+                shared = _shared(p, q)
                 good.append(100 * shared >= threshold * (len(p) + len(q) - shared))
             yield {"a": part.column(0), "b": part.column(1), "good": good}
 
@@ -190,13 +258,14 @@ def near_duplicates(
     shingles and links with nothing; rows of one doc_id are one node; a null doc_id links with
     nothing, has a null component and is kept. Other columns are not read.
 
-    Equal sets become one class by their digest before anything else. 128 minima are kept as
-    4 bits each; bands of 5 full minima make buckets (a pair at 0.8 meets with probability
-    0.99995). Buckets with the same members are looked at once, in blocks of 256 members.
-    Estimates within four standard errors of the threshold go to a check on full sets. First
-    each member tries its likeliest earlier partner; then only members of different
-    components try others, at last all of them, so no link that would join components is
-    left out and no group is spelled out in pairs.
+    Equal sets become one class by their digest before anything else. 256 minima are kept as
+    4 bits each; 32 bands of 6 full minima make buckets (a pair at 0.8 meets with probability
+    0.99994). Buckets with the same members are looked at once, in blocks of 256 members.
+    Estimates no more than 3.5 standard errors below the threshold go to a check on full sets. First
+    each member tries its likeliest earlier partner; then components that meet in a bucket
+    are held against each other, all members of either, in blocks that end at the first
+    link. So no link that would join components is left out, and no group is spelled out in
+    pairs.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(sketch(docs, width, "doc_id", "text"))
@@ -219,50 +288,36 @@ def near_duplicates(
         .select("bucket", "n", "class_id", "n_shingles", "sig")
     )
     sets = stored(_set_rows(docs.join(members.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
-    chance = 4 * (0.01 * threshold * (1 - 0.01 * threshold) / MINIMA) ** 0.5
-    cut = 0.01 * threshold - chance * 1.1
+    share, chance = 0.01 * threshold, 1 / (1 << BITS)
+    equal = share + (1 - share) * chance
+    cut = share - ERRORS * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
     blocks = F.ceil(F.col("n") / BLOCK)
     block = F.pmod(F.xxhash64("class_id", "bucket"), blocks)
-    slot = F.xxhash64("bucket", "i", "j")
-
-    labels, edges, tested = None, None, None
-    for most in (1, 16, None):
-        if labels is None:
-            at = members.withColumn("label", F.col("class_id")).withColumn("i", block).withColumn("j", block)
-            at = at.withColumn("side", F.lit(2))
-        else:
-            told = members.join(labels, members.class_id == labels.node, "left").withColumn(
-                "label", F.coalesce("component", "class_id")
-            ).drop("node", "component")
-            mixed = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest"))
-            at = told.join(mixed.where("least < greatest").select("bucket"), "bucket").withColumn("own", block)
-            # each member meets every block once: as the lower or the upper side of the pair
-            at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            at = at.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-            at = at.withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
-        pairs = _candidates(
-            at.select(slot.alias("slot"), "side", "class_id", "label", "n_shingles", "sig"), most, cut, threshold
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if pairs.isEmpty():
-            if labels is None:
-                break
-            continue
-        good = stored(_checked(pairs, sets, threshold))
-        edges = good if edges is None else edges.unionByName(good)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not good.isEmpty():
-            labels = stored(components(edges))
-        elif labels is None:
-            labels = stored(components(edges.limit(0)))
+
+    near = members.select(
+        F.xxhash64("bucket", block).alias("slot"), F.lit(2).alias("side"), "class_id", F.col("class_id").alias("label"), "n_shingles", "sig"
+    )
+    first = _checked(stored(_candidates(near, cut, threshold, spread=False)), sets, threshold)
+    labels = stored(components(first))
+    told = members.join(labels, members.class_id == labels.node, "left").withColumn("label", F.coalesce("component", "class_id"))
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest")
+    at = told.drop("node", "component").join(mixed.select("bucket"), "bucket").withColumn("own", block)
+    # each member meets every block once: as the lower or the upper side of the pair
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    at = at.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    at = at.withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
+    at = at.select(F.xxhash64("bucket", "i", "j").alias("slot"), "side", "class_id", "label", "n_shingles", "sig")
+    pairs = stored(_candidates(at, cut, threshold, spread=True))
+    own = unique.select("class_id", "sig").dropDuplicates(["class_id"])
+    marked = sets.withColumnRenamed("doc_id", "class_id").join(own, "class_id").join(labels, F.col("class_id") == labels.node, "left")
+    marked = marked.select("class_id", F.coalesce("component", "class_id").alias("label"), "items", "sig")
+    wanted = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
+    labelled = stored(marked.join(wanted, "label", "left_semi"))
+    last = components(_joined(pairs, labelled, cut, threshold)).select(F.col("node").alias("component"), F.col("component").alias("final"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    if labels is not None:
-        out = out.join(labels, out.class_id == labels.node, "left")
-        group = F.coalesce("component", "class_id", "doc_id")
-    else:
-        group = F.coalesce("class_id", "doc_id")
+    out = out.join(labels, out.class_id == labels.node, "left")
+    out = out.withColumn("component", F.coalesce("component", "class_id")).join(last, "component", "left")
+    group = F.coalesce("final", "component", "doc_id")
     group = F.when(F.col("doc_id").isNotNull(), group)
     return out.select(
         "doc_id", "n_shingles", group.alias("component_id"),
