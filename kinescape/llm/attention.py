@@ -30,6 +30,10 @@ class Vocabulary:
     group: np.ndarray
     inner: np.ndarray
 
+    @property
+    def end(self) -> int:
+        return len(self.row) - 2
+
     @classmethod
     def made(cls, counts: np.ndarray, after: np.ndarray) -> "Vocabulary":
         """From counts of each id and the end, and counts of what follows (ids by most frequent ids)."""
@@ -121,8 +125,9 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, mask: np.ndarray) -> dic
 def log10_steps(p: dict[str, np.ndarray], words: Vocabulary, stream: np.ndarray, text: np.ndarray) -> np.ndarray:
     """log10 probability of the id that follows each place of a stream of starts and ids.
 
-    ``stream`` holds, text after text, a start and the text's ids and its end; ``text``
-    numbers them. The place of an end predicts nothing and is 0.
+    ``stream`` holds, text after text, a start and the text's ids and its end, repeated so that
+    each text begins at a window's step; ``text`` numbers them. The place of an end predicts
+    nothing and is 0. So a text's steps do not depend on its neighbours.
     """
     out = np.zeros(len(stream), np.float32)
     if not len(stream):
@@ -140,7 +145,7 @@ def log10_steps(p: dict[str, np.ndarray], words: Vocabulary, stream: np.ndarray,
         z = got["z"][: hi - at]
         step = z[np.arange(hi - at), wanted] - np.log(got["sum"][: hi - at])
         out[at:hi] = step * np.float32(np.log10(np.e)) + words.inner[target[at:hi]]
-    out[np.append(text[1:] != text[:-1], True)] = 0
+    out[stream == words.end] = 0
     return out
 
 
@@ -188,7 +193,7 @@ def train(p, words: Vocabulary, stream, text, chosen, rate: float, batch: int =
         return p, 0
     one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     target = np.append(stream[1:], stream[-1])
-    ends = np.append(text[1:] != text[:-1], True)
+    ends = stream == words.end
     row = words.row[stream]
     every = windows(len(stream))
     for t, at in enumerate(range(0, len(chosen), batch), 1):
