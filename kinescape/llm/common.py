@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that an operator sends back, so that long texts stay small in memory.
-OUT_ROWS = 512
+#: Rows of an Arrow batch that an operator sends back, so that long texts stay small in memory,
+#: and most rows of a batch that it gets.
+OUT_ROWS, IN_ROWS = 512, 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,10 +52,18 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``IN_ROWS`` rows, as whole texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= IN_ROWS:
+        spark.conf.set(name, str(IN_ROWS))
+
+
 def arrow_rows(
     df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict[str, list]]]
 ) -> DataFrame:
     """``mapInArrow`` with ``work`` giving column dictionaries for each batch."""
+    bounded_batches(df.sparkSession)
     names = df.sparkSession.createDataFrame([], schema).schema.names
     target = _arrow_schema(df.sparkSession, schema)
 

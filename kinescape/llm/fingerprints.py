@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinescape.llm.common import OUT_ROWS, _arrow_schema
+from kinescape.llm.common import OUT_ROWS, _arrow_schema, bounded_batches
 
 #: Second and third byte of the triplets in a window of five, and the number of buckets.
 TRIPLETS, BUCKETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)), 256
@@ -92,6 +92,7 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     Texts are dealt once, by ranges of ``key``; the first row of each range also goes to the
     range before, so every task finds all successors in its own sorted rows.
     """
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
     rows = df.select(

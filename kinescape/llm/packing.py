@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from kinescape.llm.common import _arrow_schema
+from kinescape.llm.common import _arrow_schema, bounded_batches
 from kinescape.llm.pieces import encoder
 
 #: Worker number in the upper bits of a sequence id, the worker's own count below.
@@ -101,6 +101,7 @@ def pack(
     ordinary text. Every worker packs its own partition in one scan: nothing is shuffled, and
     a task that is run again over the same rows gives the same sequences.
     """
+    bounded_batches(df.sparkSession)
     kind = dict(df.dtypes)[key]
     schema = (
         f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
