@@ -24,6 +24,14 @@ def contour(mask: np.ndarray) -> tuple[float, float]:
     return float(area), float(length)
 
 
+def crofton(mask: np.ndarray) -> float:
+    """Length of the border by Crofton's formula: crossings of lines in four directions."""
+    wide = np.pad(mask.astype(np.int8), 1)
+    across = sum(int((a != b).sum()) for a, b in ((wide[:, 1:], wide[:, :-1]), (wide[1:], wide[:-1])))
+    aslant = sum(int((a != b).sum()) for a, b in ((wide[1:, 1:], wide[:-1, :-1]), (wide[1:, :-1], wide[:-1, 1:])))
+    return math.pi / 8 * (across + aslant / math.sqrt(2))
+
+
 def hull_area(mask: np.ndarray) -> int:
     """Pixels whose centres lie in the convex hull of the region's pixels, taken with their half-way edges."""
     ys, xs = np.nonzero(mask)
@@ -75,7 +83,7 @@ def measured(labels: np.ndarray) -> list[dict]:
         area, length = contour(mask)
         out.append({
             "label": int(name), "x": m["x"] + x0, "y": m["y"] + y0, "area": m["area"], "contour_area": area, "contour_length": length,
-            "circularity": 4 * math.pi * area / length**2 if length > 0 else None, "eccentricity": m["eccentricity"],
+            "circularity": 4 * math.pi * area / length**2 if length > 0 else None, "crofton_length": crofton(mask), "eccentricity": m["eccentricity"],
             "solidity": m["area"] / max(hull_area(mask), 1), "aspect_ratio": m["major"] / m["minor"] if m["minor"] else None,
             "orientation": m["orientation"],
         })

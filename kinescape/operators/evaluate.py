@@ -12,11 +12,15 @@ def mask_scores(pixels: DataFrame, by: list[str], found: str = "found", truth: s
     """Dice, IoU, precision, recall, F1 of each group; 0 where undefined."""
     f, t = F.col(found), F.col(truth)
     tp, fp, fn = F.count_if(f & t), F.count_if(f & ~t), F.count_if(~f & t)
-    got = pixels.groupBy(*by).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    return scored(pixels.groupBy(*by).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")))
+
+
+def scored(counts: DataFrame) -> DataFrame:
+    """Counts tp, fp, fn with dice, iou, precision, recall, f1; 0 where undefined."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     dice = ratio_or_zero(2 * tp, 2 * tp + fp + fn)
-    return got.select(
-        *by, "tp", "fp", "fn", dice.alias("dice"), ratio_or_zero(tp, tp + fp + fn).alias("iou"),
+    return counts.select(
+        "*", dice.alias("dice"), ratio_or_zero(tp, tp + fp + fn).alias("iou"),
         ratio_or_zero(tp, tp + fp).alias("precision"), ratio_or_zero(tp, tp + fn).alias("recall"), dice.alias("f1"),
     )
 

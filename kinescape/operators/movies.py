@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,11 +14,12 @@ from kinescape.functions.scalars import morphology
 from kinescape.kernels import regions, segment
 from kinescape.kernels.morphology import components, skeleton_counts, thinned
 from kinescape.operators import linking, motion, overlap
+from kinescape.operators.evaluate import mask_scores, scored
 
 _KEYS = "movie string, frame int, channel int"
 OBJECTS = (
     f"{_KEYS}, label int, x double, y double, area double, contour_area double, contour_length double, circularity double, "
-    "eccentricity double, solidity double, aspect_ratio double, orientation double"
+    "crofton_length double, eccentricity double, solidity double, aspect_ratio double, orientation double"
 )
 
 
@@ -149,21 +150,74 @@ def drifts(frames: DataFrame) -> DataFrame:
     return whole.join(before, ["movie", "frame"], "left").mapInPandas(run, "movie string, frame int, shift_y double, shift_x double, error double")
 
 
-def overlap_frames(labelled: DataFrame, first: int, second: int, by: tuple[str, ...] = ("movie", "frame")) -> DataFrame:
-    """Overlap metrics of two channels of labelled frame rows, over their pixel rows."""
-    flat = lambda c, n: labelled.where(F.col("channel") == c).select(
-        "movie", "frame", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("pixels")).alias("pos"), F.col("pixels").alias("v"), F.col("labels").alias("l"))).alias("p")
-    ).select("movie", "frame", "p.pos", F.col("p.v").alias(n), (F.col("p.l") > 0).alias(f"in_{n}"))
-    return overlap.overlap(flat(first, "a").join(flat(second, "b"), ["movie", "frame", "pos"]), by)
+def agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Scores of our labels against another tool's, frame by frame; any label is inside."""
+    keys = ["movie", "frame", "channel"]
+    flat = lambda d, n: d.select(*keys, F.posexplode("labels").alias("pos", "v")).select(*keys, "pos", (F.col("v") > 0).alias(n))
+    return mask_scores(flat(ours, "found").join(flat(theirs, "truth"), [*keys, "pos"]), keys)
 
 
-def baseline(frames: DataFrame, settings: MovieSettings | None = None) -> dict[str, DataFrame]:
+def sensitivity(
+    frames: DataFrame, backend: str, parameter: str, values: list, truth: Callable[[str, int], np.ndarray] | DataFrame, **fixed
+) -> DataFrame:
+    """Scores of a thresholding method for each value of one of its parameters.
+
+    ``truth`` is a function of movie and frame that gives a mask, or frame rows with labels.
+    Every frame is segmented once a value; scores are counted where the frame is.
+    """
+    answer = truth if callable(truth) else None
+    if answer is None:
+        known = truth.select("movie", "frame", "channel", F.col("labels").alias("truth"))
+        frames = frames.join(known, ["movie", "frame", "channel"])
+    grid = frames.withColumn("value", F.explode(F.array(*(F.lit(float(v)) for v in values))))
+    kinds = {float(v): v for v in values}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                found = segment.segment(_image(r), backend, **{parameter: kinds[r.value]}, **fixed) > 0
+                want = np.asarray(answer(r.movie, r.frame) if answer else r.truth).reshape(found.shape) > 0
+                out.append((r.movie, r.frame, r.channel, r.value, int((found & want).sum()), int((found & ~want).sum()), int((~found & want).sum())))
+            yield pd.DataFrame(out, columns=["movie", "frame", "channel", "value", "tp", "fp", "fn"])
+
+    return scored(grid.mapInPandas(run, f"{_KEYS}, value double, tp long, fp long, fn long"))
+
+
+def overlap_frames(
+    labelled: DataFrame, first: int, second: int, region: DataFrame | None = None, percentile: float | None = None
+) -> DataFrame:
+    """Overlap metrics of two channels of labelled frame rows, over their pixel rows in a region."""
+
+    def flat(channel: int, name: str) -> DataFrame:
+        each = F.arrays_zip(F.sequence(F.lit(1), F.size("pixels")).alias("pos"), F.col("pixels").alias("v"), F.col("labels").alias("l"))
+        rows = labelled.where(F.col("channel") == channel).select("movie", "frame", F.explode(each).alias("p"))
+        return rows.select("movie", "frame", "p.pos", F.col("p.v").alias(name), (F.col("p.l") > 0).alias(f"in_{name}"))
+
+    pixels = flat(first, "a").join(flat(second, "b"), ["movie", "frame", "pos"])
+    if region is not None:
+        on = [c for c in ("movie", "frame", "pos") if c in region.columns]
+        pixels = pixels.join(region.select(*on).distinct(), on, "left_semi")
+    if percentile is not None:
+        pixels = overlap.less_background(pixels, percentile, ("movie", "frame"), ("a", "b"))
+    return overlap.overlap(pixels, ("movie", "frame"))
+
+
+def baseline(
+    frames: DataFrame, settings: MovieSettings | None = None, labels: DataFrame | None = None, region: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """The baseline route: labels, objects, tracks, steps, summaries and overlap of two channels.
 
-    The tables share labelled frames; write or persist them where several are wanted.
+    ``labels`` are given label frames (movie, frame, channel, labels) in place of segmentation;
+    ``region`` (pos from 1, frame if it moves) bounds the overlap. The tables share labelled
+    frames; write or persist them where several are wanted.
     """
     s = settings or MovieSettings()
-    labelled = label_frames(frames.where(F.col("channel").isin(*s.channels)), dict(zip(s.channels, s.masks, strict=True)))
+    wanted = frames.where(F.col("channel").isin(*s.channels))
+    if labels is None:
+        labelled = label_frames(wanted, dict(zip(s.channels, s.masks, strict=True)))
+    else:
+        labelled = wanted.join(labels.select("movie", "frame", "channel", "labels"), ["movie", "frame", "channel"])
     objects = classed(measure(labelled), s)
     points = objects.select(
         F.concat_ws("/", "movie", "channel").alias("movie"), "frame", (F.col("label") - 1).alias("ordinal"), "x", "y"
@@ -174,7 +228,7 @@ def baseline(frames: DataFrame, settings: MovieSettings | None = None) -> dict[s
         "labels": labelled, "objects": objects, "tracks": tracks, "steps": walked,
         "motility": motion.summary(walked, ("movie", "track_id"), s.calibration),
         "frame_motility": motion.by_frame(walked, "movie"),
-        "overlap": overlap_frames(labelled, *s.channels),
+        "overlap": overlap_frames(labelled, *s.channels, region=region, percentile=s.background_percentile),
     }
 
 

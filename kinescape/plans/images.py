@@ -113,6 +113,28 @@ def tile_skeletons(spark, sf_dir):
     return movies.skeletons(movies.label_masks(_masks(spark, sf_dir)))
 
 
+@_query("""WITH px AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings), c AS (SELECT vec_id, count(*) FILTER (v > 0.1 AND v > 0) AS tp,
+  count(*) FILTER (v > 0.1 AND v <= 0) AS fp, count(*) FILTER (v <= 0.1 AND v > 0) AS fn FROM (SELECT vec_id, CAST(v AS DOUBLE) AS v FROM px) GROUP BY vec_id)
+SELECT vec_id, tp, fp, fn, round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS dice,
+  round(coalesce(tp / nullif(CAST(tp + fp + fn AS DOUBLE), 0), 0), 6) AS iou FROM c""")
+def tile_agreement(spark, sf_dir):
+    both = A.tiles(spark, sf_dir).select(
+        F.col("vec_id").cast("string").alias("movie"), F.lit(0).alias("frame"), F.lit(0).alias("channel"),
+        F.transform("values", lambda v: (v > 0.1).cast("int")).alias("labels"), F.transform("values", lambda v: (v > 0).cast("int")).alias("other"),
+    )
+    got = movies.agreement(both, both.withColumn("labels", F.col("other")))
+    return _rounded(got.select(F.col("movie").cast("long").alias("vec_id"), "tp", "fp", "fn", "dice", "iou"), "dice", "iou")
+
+
+@_query()
+def tile_sensitivity(spark, sf_dir):
+    """Otsu masks at several factors against the tiles' own masks."""
+    source = frames(spark, sf_dir)
+    truth = source.withColumn("labels", F.transform("pixels", lambda v: (v > 1.1).cast("int")))
+    got = movies.sensitivity(source, "otsu", "factor", [0.8, 1.0, 1.2], truth, least=1, opening=0, border_free=False)
+    return _rounded(got, "dice", "iou", "precision", "recall", "f1")
+
+
 @_query()
 def tile_drift(spark, sf_dir):
     return _rounded(movies.drifts(frames(spark, sf_dir)), "shift_y", "shift_x", "error")

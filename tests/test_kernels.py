@@ -135,3 +135,9 @@ def test_spot_settings_are_checked():
         SpotSettings(sigma=6.0)
     with pytest.raises(ValueError):
         MaskSettings(block=30)
+
+
+def test_crofton_length_of_a_pixel_and_a_large_disk():
+    assert regions.crofton(np.ones((1, 1), bool)) == pytest.approx(math.pi / 2 * (1 + math.sqrt(0.5)))
+    y, x = np.mgrid[-40:41, -40:41]
+    assert regions.crofton(y * y + x * x <= 35**2) == pytest.approx(2 * math.pi * 35, rel=0.03)

@@ -131,3 +131,37 @@ def test_settings_go_to_json_and_back():
     for bad in ({"gate": -1}, {"elongated": 0.5, "punctate": 0.6}, {"least_punctate_um2": 1.0}, {"channels": (1, 1)}):
         with pytest.raises(ValueError):
             MovieSettings(**bad)
+
+
+def test_given_labels_that_touch_stay_apart(spark):
+    image = np.zeros((4, 12, 12, 2))
+    labels = np.zeros((12, 12), int)
+    labels[3:6, 3:6], labels[3:6, 6:9] = 6, 20
+    rows = [("known", f, c, labels.ravel().tolist()) for f in range(4) for c in (0, 1)]
+    given = spark.createDataFrame(rows, "movie string, frame int, channel int, labels array<int>")
+    got = movies.baseline(frames.from_array(spark, "known", image), MovieSettings(gate=2.0), labels=given)
+    assert [r["count"] for r in got["objects"].groupBy("frame", "channel").count().collect()] == [2] * 8
+
+
+def test_sensitivity_and_agreement(spark):
+    known = movie(spark).where("channel = 0")
+    labelled = movies.label_masks(known)
+    same = movies.agreement(labelled, labelled).toPandas()
+    assert (same.iou == 1).all()
+
+    def truth(name, frame):
+        mask = np.zeros((40, 40), bool)
+        mask[8:15, 8 + frame : 15 + frame] = True
+        return mask
+
+    got = movies.sensitivity(known, "otsu", "factor", [0.5, 0.8], truth, opening=0).toPandas()
+    assert len(got) == 8 and (got.dice == 1).all()
+
+
+def test_manifest_names_every_file(spark, tmp_path):
+    from kinescape.sources.manifest import digests, manifest
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    files = digests(spark, str(tmp_path / "t"))
+    told = manifest(MovieSettings(), files, {"objects": 3})
+    assert files and told["run_id"] == run_id(MovieSettings(), *files.values()) and told["counts"] == {"objects": 3}
