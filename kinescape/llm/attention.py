@@ -12,10 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Places of a window and its step; sizes of embeddings, the hidden layer and the classes.
-WINDOW, STEP, WIDTH, HIDDEN, CLASSES = 16, 8, 16, 32, 64
+WINDOW, STEP, WIDTH, HIDDEN, CLASSES = 16, 8, 16, 16, 48
 #: Ids of own embedding, by falling count; the rest share so many rows.
 OWN, SHARED = 4096, 1024
-_HALF_BLOCK = 8192  # windows at once
+_HALF_BLOCK = 1024  # windows at once
 _MASKED = np.float32(-1e9)
 
 
@@ -115,20 +115,50 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, mask: np.ndarray) -> dic
     s /= s.sum(axis=2, keepdims=True)
     joined = np.concatenate([last, np.matmul(s, v)], axis=2).reshape(-1, 2 * WIDTH)
     h = np.tanh(joined @ p["inner"] + p["bias"])
+    # bounded by the hidden layer's range, so no maximum need be taken off
     z = h @ p["out"] + p["level"]
-    z -= z.max(axis=1, keepdims=True)
     e = np.exp(z)
     total = e.sum(axis=1)
     return {"x": x, "last": last, "q": q, "k": k, "v": v, "a": s, "joined": joined, "h": h, "z": z, "e": e, "sum": total}
 
 
-def log10_steps(p: dict[str, np.ndarray], words: Vocabulary, stream: np.ndarray, text: np.ndarray) -> np.ndarray:
+class Scorer:
+    """The model ready for scoring: what depends on an id alone is projected once for each row."""
+
+    def __init__(self, p: dict[str, np.ndarray], words: Vocabulary):
+        self.words, self.p = words, p
+        self.late = np.concatenate([p["embed"], p["embed"] @ p["query"] * np.float32(WIDTH**-0.5)], axis=1)
+        self.seen = np.concatenate([p["embed"] @ p["key"], p["embed"] @ p["value"]], axis=1)
+        self.near = _owner_mask(np.zeros((1, WINDOW), int)) + p["place"][0][_distance()]
+
+    def classes(self, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class scores of each scored place, and the logarithm of their exponentials' sum."""
+        late, seen = self.late[rows[:, WINDOW - STEP :]], self.seen[rows]
+        s = np.matmul(late[:, :, WIDTH:], seen[:, :, :WIDTH].transpose(0, 2, 1))
+        s += self.near
+        mixed = np.flatnonzero((owner != owner[:, -1:]).any(axis=1))
+        if len(mixed):
+            s[mixed] += _owner_mask(owner[mixed])
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        late[:, :, WIDTH:] = np.matmul(s, seen[:, :, WIDTH:])
+        h = late.reshape(-1, 2 * WIDTH) @ self.p["inner"]
+        h += self.p["bias"]
+        np.tanh(h, out=h)
+        z = h @ self.p["out"]
+        z += self.p["level"]
+        return z, np.log(np.exp(z).sum(axis=1))
+
+
+def log10_steps(p: dict[str, np.ndarray] | Scorer, words: Vocabulary, stream: np.ndarray, text: np.ndarray) -> np.ndarray:
     """log10 probability of the id that follows each place of a stream of starts and ids.
 
     ``stream`` holds, text after text, a start and the text's ids and its end, repeated so that
     each text begins at a window's step; ``text`` numbers them. The place of an end predicts
     nothing and is 0. So a text's steps do not depend on its neighbours.
     """
+    scorer = p if isinstance(p, Scorer) else Scorer(p, words)
     out = np.zeros(len(stream), np.float32)
     if not len(stream):
         return out
@@ -138,12 +168,11 @@ def log10_steps(p: dict[str, np.ndarray], words: Vocabulary, stream: np.ndarray,
         lo = max(0, at - (WINDOW - STEP))
         hi = min(len(stream), at + _HALF_BLOCK * STEP)
         places = windows(hi - at, at - lo)
-        seen = np.where(places < 0, 0, places)
-        own = np.where(places < 0, -1, text[lo:hi][seen])
-        got = forward(p, row[lo:hi][seen], _owner_mask(own))
+        seen = np.maximum(places, 0)
+        owner = np.where(places < 0, -1, text[lo:hi][seen])
+        z, total = scorer.classes(row[lo:hi][seen], owner)
         wanted = words.group[target[at:hi]]
-        z = got["z"][: hi - at]
-        step = z[np.arange(hi - at), wanted] - np.log(got["sum"][: hi - at])
+        step = z[np.arange(hi - at), wanted] - total[: hi - at]
         out[at:hi] = step * np.float32(np.log10(np.e)) + words.inner[target[at:hi]]
     out[stream == words.end] = 0
     return out
