@@ -46,6 +46,27 @@ def test_language_of_edges(spark, edges, nothing):
     assert langid.predict(nothing, model).count() == 0
 
 
+def test_ids_of_words_equal_those_of_each_alone():
+    from kinescape.llm.lm_score import _word_ids
+
+    codes = _word_ids(RANKS, P.PATTERN)
+    words = ["", "plain", "don't,", "\u00a0odd", "a\x1cb", "\u00e9\u00df", "x" * 500, "12.5", "\U0001f600!", "\x85", "end\u3000"]
+    ids, starts = codes.of([w.encode() for w in words])
+    for i, w in enumerate(words):
+        want = np.frombuffer(codes.slow.encode(" " + w), "<u4").tolist() if w else []
+        assert ids[starts[i] : starts[i + 1]].tolist() == want
+
+
+def test_scoring_equals_the_forward_pass():
+    draw, words = small(4)
+    p = attention.fresh()
+    rows = draw.integers(0, attention.OWN, (5, attention.WINDOW))
+    own = np.sort(draw.integers(0, 2, (5, attention.WINDOW)), axis=1)
+    z, total = attention.Scorer(p, words).classes(rows, own)
+    full = attention.forward(p, rows, attention._owner_mask(own))
+    assert z == pytest.approx(full["z"], abs=1e-4) and total == pytest.approx(np.log(full["sum"]), abs=1e-4)
+
+
 def small(seed=0):
     draw = np.random.default_rng(seed)
     counts = draw.integers(0, 50, 101)
