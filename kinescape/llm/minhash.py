@@ -18,7 +18,7 @@ MINIMA, BANDS, ROWS, BITS = 256, 32, 6, 4
 #: Standard errors of the estimate below the threshold at which a pair is still checked.
 ERRORS = 3.5
 #: Members of a bucket that are compared in one group.
-BLOCK = 256
+BLOCK = 512
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
@@ -260,7 +260,7 @@ def near_duplicates(
 
     Equal sets become one class by their digest before anything else. 256 minima are kept as
     4 bits each; 32 bands of 6 full minima make buckets (a pair at 0.8 meets with probability
-    0.99994). Buckets with the same members are looked at once, in blocks of 256 members.
+    0.99994). Buckets with the same members are looked at once, in blocks of 512 members.
     Estimates no more than 3.5 standard errors below the threshold go to a check on full sets. First
     each member tries its likeliest earlier partner; then components that meet in a bucket
     are held against each other, all members of either, in blocks that end at the first
@@ -287,7 +287,9 @@ def near_duplicates(
         .join(unique.select("class_id", "n_shingles", "sig").dropDuplicates(["class_id"]), "class_id")
         .select("bucket", "n", "class_id", "n_shingles", "sig")
     )
-    sets = stored(_set_rows(docs.join(members.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
+    # the ids grow with the corpus: a merge join at every size, never a broadcast
+    wanted = members.select(F.col("class_id").alias("doc_id")).distinct().hint("merge")
+    sets = stored(_set_rows(docs.join(wanted, "doc_id", "left_semi"), width))
     share, chance = 0.01 * threshold, 1 / (1 << BITS)
     equal = share + (1 - share) * chance
     cut = share - ERRORS * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
