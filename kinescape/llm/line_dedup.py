@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinescape.llm.common import arrow_rows, slices, stored
@@ -71,15 +71,14 @@ def repeated_runs(df: DataFrame, least_words: int = 50, key: str = "doc_id", tex
 
     def cut(batch):
         for part in slices(batch):
-            marks, lines, found = [], [], []
-            for s in part.column(1).to_pylist():
+            lines, found = [], []
+            for s in part.column(2).to_pylist():
                 h, w = line_hashes(s)
-                marks.append(_mark(s))
                 lines.append(h)
                 found.append([{"w": x, "p": p} for x, p in windows(h, w, least_words)])
-            yield {"k": part.column(0), "mark": marks, "lines": lines, "windows": found}
+            yield {"k": part.column(0), "mark": part.column(1), "lines": lines, "windows": found}
 
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("k"), F.col(text).alias("text"))
+    rows = df.select(_order(key).alias("k"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     cuts = stored(
         arrow_rows(rows, "k long, mark long, lines array<long>, windows array<struct<w: long, p: int>>", cut)
     )
@@ -118,8 +117,8 @@ def repeated_runs(df: DataFrame, least_words: int = 50, key: str = "doc_id", tex
     return found.groupBy("k", "mark").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
-def _mark(text: str | None) -> int:
-    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), seed=text is None) - (1 << 63)
+def _order(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
 
 
 def drop_repeated(df: DataFrame, least_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,23 +133,12 @@ def drop_repeated(df: DataFrame, least_words: int = 50, key: str = "doc_id", tex
     """
     df = df.drop("n_lines", "n_dropped")
     names = [*df.columns]
-    place = f"__{text}_place"
-
-    def mark(batch):
-        for part in slices(batch):
-            yield {c: part.column(i) for i, c in enumerate(names)} | {
-                place: [_mark(s) for s in part.column(names.index(text)).to_pylist()]
-            }
-
     kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
     runs = repeated_runs(df, least_words, key, text)
     runs = runs.select(F.col("k").alias("__k"), F.col("mark").alias("__m"), F.col("runs").alias("__runs"))
-    marked = arrow_rows(df, f"{kinds}, `{place}` long", mark)
-    joined = marked.join(
-        runs,
-        (F.coalesce(marked[key].cast("long"), F.lit(_LAST)) == F.col("__k")) & (F.col(place) == F.col("__m")),
-        "left",
-    ).select(*(F.col(f"`{c}`") for c in names), "__runs")
+    placed = df.withColumn("__order", _order(key)).withColumn("__mark", F.xxhash64(text))
+    joined = placed.join(runs, (F.col("__order") == F.col("__k")) & (F.col("__mark") == F.col("__m")), "left")
+    joined = joined.select(*(F.col(f"`{c}`") for c in names), "__runs")
 
     def clean(batch):
         for part in slices(batch):
