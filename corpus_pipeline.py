@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without runs of 50 words or more that stand in an earlier line; documents left empty go."""
+    """Without runs of 50 words or more that stand earlier; documents left empty go."""
     cut = drop_repeated(docs)
     left = cut.where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
     return _measured(left.select(docs.columns))

@@ -1,7 +1,9 @@
-"""Repeated runs of lines, found by winnowing over line hashes."""
+"""Repeated runs of words, found by winnowing over grams of words inside and across lines."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -10,131 +12,190 @@ from pyspark.sql import functions as F
 from kinescape.llm.common import arrow_rows, slices, stored
 
 _LAST = (1 << 63) - 1
+_WORD = re.compile(r"\S+")
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=8)
+        if len(word) <= 32:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_seen = _Hashes()
+#: Powers of the base and of its inverse modulo 2^64, as many as the longest text so far had words.
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
 
+class Words:
+    """Hashes of runs of a text's words, from sums over its beginnings."""
 
-def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
-    """Signed 64-bit hash of the words of each line that has any, and their number."""
-    hashes, words = [], []
-    for line in (text or "").split("\n"):
-        if parts := line.split():
-            hashes.append(xxhash.xxh64_intdigest(" ".join(parts).encode()) - (1 << 63))
-            words.append(len(parts))
-    return hashes, words
+    def __init__(self, text: str | None):
+        words = (text or "").split()
+        self.n = len(words)
+        up, self.down = _grown(self.n + 1)
+        own = np.fromiter(map(_seen.__getitem__, words), np.uint64, self.n)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(own * up[: self.n], out=self.sums[1:])
 
+    def runs(self, starts: np.ndarray, sizes) -> np.ndarray:
+        """Hash of the ``sizes`` words from each of ``starts``."""
+        return _mixed((self.sums[starts + sizes] - self.sums[starts]) * self.down[starts])
 
-def windows(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
-    """(hash, place of the least line hash) of each shortest run of lines with ``least`` words.
 
-    Any run of lines of so many words holds such a window, so
-    its minimum is a guaranteed fingerprint; the window's own hash tells contexts apart.
+def windows(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, context, first window and number of windows of each chosen gram.
+
+    Each window of ``least`` words chooses the first least of its grams of half as many words.
+    The choice depends on the window's words alone, so equal windows have equal fingerprints.
+    The context is a hash of all words of the windows that chose the gram, and of its place.
     """
-    out, end, total = [], 0, 0
-    for start in range(len(hashes)):
-        if end < start:
-            end, total = start, 0
-        while end < len(hashes) and total < least:
-            total += words[end]
-            end += 1
-        if total < least:
-            break
-        low = min(range(start, end), key=lambda i: (hashes[i], i))
-        whole = xxhash.xxh64_intdigest(np.array(hashes[start:end], "<i8").tobytes(), seed=end - start)
-        out.append((whole - (1 << 63), low))
-        total -= words[start]
-    return out
-
-
-def _extended(own: list[int], first: list[int], at: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
-    """Runs (start, end) of ``own`` equal to ``first`` around each joined position, both ways."""
-    found: list[tuple[int, int]] = []
-    done: dict[int, int] = {}  # end of the last run of each shift
-    for p, q in sorted(at):
-        if same and p <= q or done.get(p - q, -1) > p:
-            continue
-        a, b = p, p + 1
-        while a > 0 and a - (p - q) > 0 and own[a - 1] == first[a - 1 - (p - q)]:
-            a -= 1
-        while b < len(own) and b - (p - q) < len(first) and own[b] == first[b - (p - q)]:
-            b += 1
-        done[p - q] = b
-        found.append((a, b))
-    return found
-
-
-def repeated_runs(df: DataFrame, least_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs of lines that stand earlier too: k, mark, runs array<struct<a, b>> (in lines with words).
+    wide = (least + 1) // 2
+    total = words.n - least + 1
+    if total < 1:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+    grams = words.runs(np.arange(words.n - wide + 1), wide)
+    chosen = np.arange(total) + np.lib.stride_tricks.sliding_window_view(grams, least - wide + 1).argmin(axis=1)
+    first = np.flatnonzero(np.diff(chosen, prepend=-1))
+    number = np.diff(first, append=total)
+    at = chosen[first]
+    context = words.runs(first, number - 1 + least)
+    context = _mixed(context + (number * 65_537 + (at - first)).astype(np.uint64) * np.uint64(_BASE))
+    return grams[at].view(np.int64), context.view(np.int64), first.astype(np.int32), number.astype(np.int32)
+
+
+def repeated_windows(df: DataFrame, least_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Windows of words that stand earlier too: k, mark, runs array<struct<a, n>>.
 
     k is ``key`` as long (nulls last), mark a digest of the text; the two name a text, and
-    order goes by k, mark and line. Every run of at least ``least_words`` words that repeats
-    an earlier run is found and extended both ways to its full length.
+    order goes by k, mark and word. ``n`` windows of ``least_words`` words follow each other
+    from word a; each of them, and no other window, equals an earlier one. Occurrences of a
+    gram with one context are settled by the context's hash; where a gram has several
+    contexts, the first occurrence of each is compared window by window.
     """
+    rows = df.select(_order(key).alias("k"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def cut(batch):
         for part in slices(batch):
-            lines, found = [], []
-            for s in part.column(2).to_pylist():
-                h, w = line_hashes(s)
-                lines.append(h)
-                found.append([{"w": x, "p": p} for x, p in windows(h, w, least_words)])
-            yield {"k": part.column(0), "mark": part.column(1), "lines": lines, "windows": found}
-
-    rows = df.select(_order(key).alias("k"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    cuts = stored(
-        arrow_rows(rows, "k long, mark long, lines array<long>, windows array<struct<w: long, p: int>>", cut)
-    )
-    posted = cuts.select("k", "mark", F.explode("windows").alias("f")).select("k", "mark", "f.w", "f.p")
-    firsts = (
-        posted.groupBy("w")
-        .agg(F.min(F.struct("k", "mark", "p")).alias("first"), F.max(F.struct("k", "mark", "p")).alias("last"))
-        .where("first < last")
-        .select("w", "first")
+            k, mark = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            found = [windows(Words(s), least_words) for s in part.column(2).to_pylist()]
+            sizes = [len(x[0]) for x in found]
+            h, c, a, n = (np.concatenate([x[i] for x in found]) for i in range(4))
+            yield {"k": np.repeat(k, sizes), "mark": np.repeat(mark, sizes), "h": h, "c": c, "a": a, "n": n}
+
+    posted = stored(arrow_rows(rows, "k long, mark long, h long, c long, a int, n int", cut))
+    often = posted.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    again = stored(posted.join(often, "h", "left_semi"))
+    place = F.struct("k", "mark", "a")
+    contexts = stored(
+        again.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("n").alias("n"))
     )
-    at = (
-        posted.join(firsts, "w")
-        .where(F.struct("k", "mark", "p") > F.col("first"))
-        .groupBy("k", "mark", F.col("first.k").alias("k0"), F.col("first.mark").alias("mark0"))
-        .agg(F.collect_set(F.struct("p", F.col("first.p").alias("q"))).alias("at"))
+    whole = (
+        again.join(contexts.where("first < last").select("h", "c", "first"), ["h", "c"])
+        .where(place > F.col("first")).select("k", "mark", "a", "n")
     )
-    known = cuts.select("k", "mark", "lines").dropDuplicates(["k", "mark"])
-    both = at.join(known, ["k", "mark"]).join(
-        known.select(F.col("k").alias("k0"), F.col("mark").alias("mark0"), F.col("lines").alias("lines0")),
-        ["k0", "mark0"],
+    several = contexts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    asked = (
+        contexts.join(several, "h", "left_semi").select("first.*", "n")
+        .groupBy("k", "mark").agg(F.collect_list(F.struct("a", "n")).alias("asked"))
     )
 
-    def extend(batch):
+    def spell(batch):
         for part in slices(batch):
-            runs = []
-            for k, m, k0, m0, at, own, first in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                pairs = [(x["p"], x["q"]) for x in at]
-                runs.append([{"a": a, "b": b} for a, b in _extended(own, first, pairs, (k, m) == (k0, m0))])
-            yield {"k": part.column(0), "mark": part.column(1), "runs": runs}
-
-    found = arrow_rows(
-        both.select("k", "mark", "k0", "mark0", "at", "lines", "lines0"),
-        "k long, mark long, runs array<struct<a: int, b: int>>",
-        extend,
+            out = [[], [], [], []]
+            for k, mark, s, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                starts = np.concatenate([np.arange(x["a"], x["a"] + x["n"]) for x in asked])
+                own = (np.full(len(starts), k), np.full(len(starts), mark), Words(s).runs(starts, least_words).view(np.int64), starts)
+                for column, values in zip(out, own, strict=True):
+                    column.append(values)
+            yield dict(zip(("k", "mark", "w", "a"), map(np.concatenate, out), strict=True))
+
+    texts = rows.join(asked, ["k", "mark"]).select("k", "mark", "text", "asked")
+    spelled = stored(arrow_rows(texts, "k long, mark long, w long, a int", spell))
+    firsts = spelled.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    single = (
+        spelled.join(firsts.select("w", "first"), "w").where(place > F.col("first"))
+        .select("k", "mark", "a", F.lit(1).alias("n"))
     )
-    return found.groupBy("k", "mark").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return whole.union(single).groupBy("k", "mark").agg(F.collect_set(F.struct("a", "n")).alias("runs"))
 
 
 def _order(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
 
 
+def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """``text`` without the words of ``runs`` (first word, end), and the number of lines that go.
+
+    A line that loses all its words goes, with empty lines inside a run; of other lines the
+    kept words stay as they are, with the space before the first and after the last word.
+    """
+    lines = text.split("\n")
+    spans = [[m.span() for m in _WORD.finditer(line)] for line in lines]
+    total = sum(map(len, spans))
+    edges = np.zeros(total + 1, np.int64)
+    inner = np.zeros(total + 2, np.int64)  # places between two words of one run
+    for a, b in runs:
+        edges[a] += 1
+        edges[b] -= 1
+        inner[a + 1] += 1
+        inner[b] -= 1
+    gone, inside = np.cumsum(edges) > 0, np.cumsum(inner) > 0
+    out, at, lost = [], 0, 0
+    for line, own in zip(lines, spans, strict=True):
+        drop = gone[at : at + len(own)]
+        if inside[at] if not own else drop.all():
+            lost += 1
+        elif not own or not drop.any():
+            out.append(line)
+        else:
+            kept = np.flatnonzero(~drop)
+            parts = [line[: own[0][0]]]
+            for n, i in enumerate(kept):
+                if n:
+                    # words that were neighbours keep what stood between them
+                    before = kept[n - 1]
+                    parts.append(line[own[before][1] : own[i][0]] if i == before + 1 else " ")
+                parts.append(line[own[i][0] : own[i][1]])
+            out.append("".join([*parts, line[own[-1][1] :]]))
+        at += len(own)
+    return "\n".join(out), lost
+
+
 def drop_repeated(df: DataFrame, least_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without later repeats: ``text`` loses them; n_lines and n_dropped (long) are added.
 
-    A run of lines with at least ``least_words`` words that stands earlier (by ``key``, then
-    place; also in the same text) is deleted with all equal lines around it; its first
-    occurrence stays. Lines are compared by their words; empty lines count for nothing and go
-    with the run around them. A null text stays null with no
+    Every run of at least ``least_words`` words that stands earlier (by ``key``, then place;
+    also in the same text) is deleted, wherever in a line it begins or ends; its first
+    occurrence stays, and so does every word outside such runs. Words are parted by white
+    space, line ends among it. Lines left without words go and are counted in n_dropped, with
+    empty lines inside a run. A null text stays null with no
     lines; rows equal in key and text are one text and all keep what it keeps. Rows of a null
     key come after all others. Columns named n_lines or n_dropped are replaced.
     """
     df = df.drop("n_lines", "n_dropped")
     names = [*df.columns]
     kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    runs = repeated_runs(df, least_words, key, text)
+    runs = repeated_windows(df, least_words, key, text)
     runs = runs.select(F.col("k").alias("__k"), F.col("mark").alias("__m"), F.col("runs").alias("__runs"))
     placed = df.withColumn("__order", _order(key)).withColumn("__mark", F.xxhash64(text))
     joined = placed.join(runs, (F.col("__order") == F.col("__k")) & (F.col("__mark") == F.col("__m")), "left")
@@ -146,15 +207,12 @@ def drop_repeated(df: DataFrame, least_words: int = 50, key: str = "doc_id", tex
             for s, held in zip(
                 part.column(names.index(text)).to_pylist(), part.column(len(names)).to_pylist(), strict=True
             ):
-                lines = [] if s is None else s.split("\n")
-                keep = np.ones(len(lines), bool)
+                lost = 0
+                totals.append(0 if s is None else s.count("\n") + 1)
                 if held:
-                    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-                    for run in held:
-                        keep[full[run["a"]] : full[run["b"] - 1] + 1] = False
-                totals.append(len(lines))
-                gone.append(int((~keep).sum()))
-                texts.append(s if keep.all() else "\n".join(x for x, k in zip(lines, keep, strict=True) if k))
+                    s, lost = without(s, [(x["a"], x["a"] + x["n"] - 1 + least_words) for x in held])
+                texts.append(s)
+                gone.append(lost)
             out = {c: part.column(i) for i, c in enumerate(names)}
             yield out | {text: texts, "n_lines": totals, "n_dropped": gone}
 

@@ -1,4 +1,4 @@
-"""Documents without later repeats of runs of lines."""
+"""Documents without later repeats of runs of words."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -232,3 +232,51 @@ def test_pipeline_keeps_what_plain_rules_keep(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in groups.items() if i == c}
     packed = corpus_pipeline.run(spark, folder).select("doc_id").distinct()
     assert {r.doc_id for r in packed.collect()} == {i for i, c in groups.items() if i == c}
+
+
+def words_left(rows, least):
+    """Words in no window of ``least`` words that stands earlier, by a plain search."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        own = t.split()
+        drop = set()
+        for a in range(len(own) - least + 1):
+            run = tuple(own[a : a + least])
+            if run in seen:
+                drop |= set(range(a, a + least))
+            seen.add(run)
+        out[i] = [x for n, x in enumerate(own) if n not in drop]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_inside_lines_match_a_plain_search_by_words(spark, seed):
+    draw = np.random.default_rng(seed)
+    pool = [f"w{n}" for n in range(120)]
+    rows = []
+    for i in range(80):
+        words = []
+        for _ in range(int(draw.integers(1, 5))):
+            a = int(draw.integers(0, 100))
+            words += pool[a : a + int(draw.integers(1, 40))] + [f"d{i}x{k}" for k in range(int(draw.integers(0, 4)))]
+        if draw.random() < 0.2:
+            words += ["z"] * int(draw.integers(1, 30))
+        rows.append((i, "".join(w + str(draw.choice([" ", " ", " ", "\n", "\n\n"])) for w in words)))
+    got = line_dedup.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    assert {r.doc_id: r.text.split() for r in got} == words_left(rows, 12)
+
+
+def test_a_passage_that_ends_inside_lines_goes_exactly():
+    passage = " ".join(f"word{i}" for i in range(60))
+    assert line_dedup.without(f" a  b {passage} c  d ", [(2, 62)]) == (" a  b c  d ", 0)
+    assert line_dedup.without(f"a {passage}\n\nb\n", [(1, 62)]) == ("a\n", 2)
+
+
+def test_one_line_documents_and_edited_copies_lose_the_passage(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"first {passage} end"), (2, f"other words {passage} here"), (3, f"first {passage.replace('word9 ', 'changed ')} end"), (4, passage)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: (rows[0][1], 0), 2: ("other words here", 0), 4: ("", 1),
+        3: ("first " + " ".join(f"word{i}" for i in range(9)) + " changed", 0),
+    }
