@@ -17,8 +17,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Weak parts: 40 characters of a key's alphabet standing alone; a host or address of a service.
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+#: Weak parts: 40 characters of a key's alphabet standing alone, or after the = of a name; a host or address of a service.
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"(?:https?|s3|amqp|postgres|mysql|redis|mongodb)://[^\s\"'<>]+|\b[a-z0-9.-]+\.amazonaws\.com\b")
 _TO_HEX = bytes(0x68 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
 _TO_KEY = bytes(

@@ -32,6 +32,14 @@ def test_weak_parts_count_only_beside_their_complement():
     assert secrets.find_spans(f"{KEY}\n\n{WEAK}")[1] == []
 
 
+@pytest.mark.parametrize("pair", ["{}={}", "{} = {}", '{}="{}"', "export {}={};", "{}: {}"])
+def test_a_named_weak_secret_counts_beside_an_identifier(pair):
+    text = "\n".join([pair.format("AWS_ACCESS_KEY_ID", KEY), pair.format("AWS_SECRET_ACCESS_KEY", WEAK)])
+    at = text.index(WEAK)
+    assert secrets.find_spans(text)[1] == [(at, 3, at + 40)]
+    assert secrets.find_spans(f"{KEY} X={WEAK}=")[1] == secrets.find_spans(f"{KEY} X={WEAK}a")[1] == []
+
+
 def test_scan_and_redaction(spark, edges, nothing):
     assert secrets.scan(edges).count() == len(EDGES) and secrets.scan(nothing).count() == 0
     docs = spark.createDataFrame([(1, f"a {KEY} b", 5), (2, None, 6), (3, "password=token:secretvalue", 7)], "doc_id long, text string, spans int")
