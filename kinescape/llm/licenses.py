@@ -1,4 +1,4 @@
-"""Licence scan: winnowed template fingerprints, an inverted index, banded alignment."""
+"""Licence scan: anchor tokens of templates, an inverted index, banded alignment."""
 
 from __future__ import annotations
 
@@ -69,53 +69,62 @@ def token_hashes(raw: bytes) -> np.ndarray:
     return np.fromiter(map(_seen.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def grams(tokens: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` tokens."""
-    if len(tokens) < width:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(tokens) - width + 1, np.uint64)
-    for j in range(width):
-        out = (out ^ tokens[j : len(out) + j]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
-    return out
+#: Words that many texts hold; they are looked up last.
+_COMMON = frozenset(
+    b"a all an and any are as at be by can copy do following for from if in is it may must no not of on or other that "
+    b"the this to under use was with without you".split()
+)
 
 
 @dataclass(frozen=True)
 class TemplateIndex:
-    """Sorted fingerprints, and the template and place of each."""
+    """Sorted anchor tokens, the template and place of each, and how often templates hold each token."""
 
     names: list[str]
     tokens: list[np.ndarray]
     marks: np.ndarray
     template: np.ndarray
     place: np.ndarray
-    width: int
+    known: np.ndarray
+    counts: np.ndarray
 
     @classmethod
-    def made(cls, templates: dict[str, str], width: int = 3, window: int = 2) -> "TemplateIndex":
-        """Window minima of each template's grams: any ``width + window - 1`` tokens hold one."""
+    def made(cls, templates: dict[str, str], least: float = 0.8) -> "TemplateIndex":
+        """Anchors: one place more than a match may miss, so any match of ``least`` holds one of them."""
         names = sorted(templates)
+        raw = [templates[n].encode().translate(_KEEP).split() for n in names]
         tokens = [token_hashes(templates[n].encode()) for n in names]
         rows = []
+        for t, own in enumerate(raw):
+            need = max(1, int(np.ceil(least * len(own) - 1e-9)))
+            order = sorted(range(len(own)), key=lambda i: (own[i] in _COMMON or own[i].isdigit(), -len(own[i]), i))
+            rows += [(int(tokens[t][i]), t, i) for i in order[: len(own) - need + 1]]
+        rows.sort()
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]))
+        counts = np.zeros((len(names), len(known) + 1), np.int64)
         for t, own in enumerate(tokens):
-            found = grams(own, min(width, max(len(own), 1)))
-            for at in range(max(1, len(found) - window + 1)):
-                part = found[at : at + window]
-                if len(part):
-                    low = at + int(part.argmin())
-                    rows.append((int(found[low]), t, low))
-        rows = sorted(set(rows))
+            np.add.at(counts[t], np.searchsorted(known, own), 1)
         return cls(
-            names, tokens, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]),
-            np.array([r[2] for r in rows]), width,
+            names, tokens, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64),
+            np.array([r[2] for r in rows], np.int64), known, counts,
         )
 
+    def places(self, doc: np.ndarray) -> np.ndarray:
+        """Place of each token among the templates' tokens; one past the last if no template holds it."""
+        if not len(self.known):
+            return np.zeros(len(doc), np.int64)
+        at = np.minimum(np.searchsorted(self.known, doc), len(self.known) - 1)
+        return np.where(self.known[at] == doc, at, len(self.known))
+
+    def at_most(self, t: int, places: np.ndarray) -> int:
+        """Tokens of a template that a stretch can match in any order."""
+        return int(np.minimum(self.counts[t], np.bincount(places, minlength=self.counts.shape[1])).sum())
+
     def candidates(self, doc: np.ndarray, band: float) -> list[tuple[int, int, int]]:
         """(template, first, last): stretches of the document where a template may lie."""
-        found = grams(doc, self.width)
-        if not len(found) or not len(self.marks):
+        if not len(doc) or not len(self.marks):
             return []
-        lo, hi = np.searchsorted(self.marks, found), np.searchsorted(self.marks, found, side="right")
+        lo, hi = np.searchsorted(self.marks, doc), np.searchsorted(self.marks, doc, side="right")
         out: list[tuple[int, int, int]] = []
         hits: dict[int, list[int]] = {}
         for i in np.flatnonzero(hi > lo):
@@ -164,12 +173,16 @@ def scan_text(text: str | None, index: TemplateIndex, least: float, band: float)
     raw = text.encode("utf-8", "surrogatepass")
     doc = token_hashes(raw)
     found = []
-    for t, a, b in index.candidates(doc, band):
+    near = index.candidates(doc, band)
+    places = index.places(doc) if near else None
+    for t, a, b in near:
         own = index.tokens[t]
         # a long stretch of repeats is aligned in overlapping pieces of bounded size
         size, step = 3 * len(own) + 8, len(own) + 4
         for lo in range(max(0, a), max(max(0, a) + 1, b - len(own)), step):
             part = doc[lo : min(b, lo + size)]
+            if index.at_most(t, places[lo : min(b, lo + size)]) / len(own) < least:
+                continue
             n, first, last = aligned(own, part, max(3, int(band * len(own))))
             if len(own) and n / len(own) >= least and last - first < 2 * len(own):
                 found.append((-n, lo + first, lo + last, t, n / len(own)))
@@ -197,16 +210,16 @@ def scan(
 ) -> DataFrame:
     """Licence wordings in each whole text: ``key``, matches array<struct<license, start, end, coverage>>.
 
-    Templates' three-token grams, winnowed in windows of two, make an inverted index (the
-    templates are code: a fixed size). Every gram of a text is looked up; a hit gives a
-    stretch that is aligned with its template, and a match of at least ``least`` of the
-    template's tokens in order is reported. Of overlapping matches the one with most matched
+    The rarer tokens of each template, one more than a match may miss, make an inverted index
+    (the templates are code: a fixed size). Every token of a text is looked up; a hit gives a
+    stretch that, if it holds enough of the template's tokens, is aligned with it, and a match
+    of at least ``least`` of the template's tokens in order is reported. Of overlapping matches the one with most matched
     tokens stays. Tokens are letters and digits in lower case; starts and ends are code
     points. A null or empty text has no matches; null keys and repeated rows are kept. One
     scan, no shuffle.
     """
     kind = dict(df.dtypes)[key]
-    index = TemplateIndex.made(TEMPLATES if templates is None else templates)
+    index = TemplateIndex.made(TEMPLATES if templates is None else templates, least)
 
     def work(batch):
         for part in slices(batch):

@@ -61,6 +61,19 @@ def test_license_wordings_are_found_with_their_spans(spark):
     assert got[6] == [("cc-by-nc-4.0", 0, 27), ("cc-by-nc-4.0", 29, 56)]
 
 
+def test_one_token_edits_of_short_templates_are_found():
+    short = {k: v for k, v in licenses.TEMPLATES.items() if 5 <= len(licenses.token_hashes(v.encode())) <= 9}
+    assert len(short) >= 6
+    for name, wording in short.items():
+        index = licenses.TemplateIndex.made({name: wording})
+        own = re.findall("[A-Za-z0-9]+", wording)
+        for i in range(len(own)):
+            for put in ([], ["zzz"]):
+                text = " ".join(["some", "text", *own[:i], *put, *own[i + 1 :], "more", "text"])
+                got = licenses.scan_text(text, index, 0.8, 0.2)
+                assert [m["license"] for m in got] == [name] and got[0]["coverage"] == (len(own) - 1) / len(own)
+
+
 def test_alignment_counts_the_longest_common_subsequence():
     draw = np.random.default_rng(6)
     for _ in range(60):
