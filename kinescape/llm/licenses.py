@@ -11,8 +11,45 @@ from pyspark.sql import DataFrame
 
 from kinescape.llm.common import arrow_rows, slices
 
-#: Wordings of licence notices, by name.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met"
+)
+_BSD_TWO = (
+    ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+    "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING "
+    "IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General "
+    "Public License as published by the Free Software Foundation, either version {2} of the License, or (at your "
+    "option) any later version."
+)
+
+#: Wordings of licence notices and texts, by name.
 TEMPLATES = {
+    "agpl-3.0": "licensed under the GNU Affero General Public License, version 3",
+    "agpl-3.0-header": _GNU.format("This program", "Affero ", "3"),
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
@@ -21,30 +58,84 @@ TEMPLATES = {
         "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS "
         "OF ANY KIND, either express or implied."
     ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met"
+    "bsd": _BSD,
+    "bsd-2-clause": _BSD + _BSD_TWO + _BSD_WARRANTY,
+    "bsd-3-clause": _BSD + _BSD_TWO + "3. " + _BSD_NAMES + _BSD_WARRANTY,
+    "bsd-4-clause": (
+        _BSD + _BSD_TWO + "3. All advertising materials mentioning features or use of this software must display the "
+        "following acknowledgement: This product includes software developed by the organization. 4. " + _BSD_NAMES + _BSD_WARRANTY
+    ),
+    "cc0-1.0": "Licensed under CC0 1.0",
+    "cc0-1.0-notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work"
     ),
     "cc-by-4.0": "Licensed under CC BY 4.0",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
+    "epl-2.0": "Licensed under the Eclipse Public License, Version 2.0",
+    "epl-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at http://www.eclipse.org/legal/epl-2.0"
+    ),
+    "gpl-2.0": "licensed under the GNU General Public License, version 2",
+    "gpl-2.0-header": _GNU.format("This program", "", "2"),
     "gpl-3.0": "licensed under the GNU General Public License, version 3",
-    "gpl-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."
+    "gpl-3.0-header": _GNU.format("This program", "", "3"),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        "IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+        "USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "lgpl-2.1": "licensed under the GNU Lesser General Public License, version 2.1",
+    "lgpl-2.1-header": _GNU.format("This library", "Lesser ", "2.1"),
+    "lgpl-3.0": "licensed under the GNU Lesser General Public License, version 3",
+    "lgpl-3.0-header": _GNU.format("This program", "Lesser ", "3"),
     "mit": "Released under the MIT License",
-    "mit-header": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
-        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+    "mit-header": _MIT,
+    "mit-text": (
+        _MIT + ": The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"
     ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
+}
+
+#: Wordings that tell versions and variants apart; a match holds each with nothing in between.
+HELD = {
+    **{n: (w.removeprefix("Licensed under "),) for n, w in TEMPLATES.items() if n.startswith("cc") and "notice" not in n},
+    **{n: ("Apache License", "2 0") for n in ("apache-2.0", "apache-2.0-header")},
+    **{n: ("Eclipse Public License", "2 0") for n in ("epl-2.0", "epl-2.0-header")},
+    **{
+        f"{n}{end}": (f"GNU {kind}General Public License", f"version {version}")
+        for n, kind, version in (
+            ("agpl-3.0", "Affero ", "3"), ("gpl-2.0", "", "2"), ("gpl-3.0", "", "3"), ("lgpl-2.1", "Lesser ", "2 1"),
+            ("lgpl-3.0", "Lesser ", "3"),
+        )
+        for end in ("", "-header")
+    },
+    "bsd-3-clause": ("endorse or promote products",),
+    "bsd-4-clause": ("advertising materials", "endorse or promote products"),
+    "mit": ("MIT License",),
+    "mpl-2.0": ("Mozilla Public License", "2 0"),
 }
 
 _KEEP = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -87,9 +178,12 @@ class TemplateIndex:
     place: np.ndarray
     known: np.ndarray
     counts: np.ndarray
+    held: list[list[np.ndarray]]
 
     @classmethod
-    def made(cls, templates: dict[str, str], least: float = 0.8) -> "TemplateIndex":
+    def made(
+        cls, templates: dict[str, str], least: float = 0.8, held: dict[str, tuple[str, ...]] | None = None
+    ) -> "TemplateIndex":
         """Anchors: one place more than a match may miss, so any match of ``least`` holds one of them."""
         names = sorted(templates)
         raw = [templates[n].encode().translate(_KEEP).split() for n in names]
@@ -107,8 +201,16 @@ class TemplateIndex:
         return cls(
             names, tokens, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64),
             np.array([r[2] for r in rows], np.int64), known, counts,
+            [[token_hashes(x.encode()) for x in (held or {}).get(n, ())] for n in names],
         )
 
+    def holds(self, t: int, part: np.ndarray) -> bool:
+        """Whether each wording that a match of the template must hold stands in ``part`` as it is."""
+        for own in self.held[t]:
+            if len(part) < len(own) or not (np.lib.stride_tricks.sliding_window_view(part, len(own)) == own).all(axis=1).any():
+                return False
+        return True
+
     def places(self, doc: np.ndarray) -> np.ndarray:
         """Place of each token among the templates' tokens; one past the last if no template holds it."""
         if not len(self.known):
@@ -184,7 +286,7 @@ def scan_text(text: str | None, index: TemplateIndex, least: float, band: float)
             if index.at_most(t, places[lo : min(b, lo + size)]) / len(own) < least:
                 continue
             n, first, last = aligned(own, part, max(3, int(band * len(own))))
-            if len(own) and n / len(own) >= least and last - first < 2 * len(own):
+            if len(own) and n / len(own) >= least and last - first < 2 * len(own) and index.holds(t, part[first : last + 1]):
                 found.append((-n, lo + first, lo + last, t, n / len(own)))
     taken: list[tuple] = []
     for n, first, last, t, share in sorted(set(found)):
@@ -213,13 +315,14 @@ def scan(
     The rarer tokens of each template, one more than a match may miss, make an inverted index
     (the templates are code: a fixed size). Every token of a text is looked up; a hit gives a
     stretch that, if it holds enough of the template's tokens, is aligned with it, and a match
-    of at least ``least`` of the template's tokens in order is reported. Of overlapping matches the one with most matched
+    of at least ``least`` of the template's tokens in order is reported, of ``TEMPLATES`` only
+    with the wordings in ``HELD``. Of overlapping matches the one with most matched
     tokens stays. Tokens are letters and digits in lower case; starts and ends are code
     points. A null or empty text has no matches; null keys and repeated rows are kept. One
     scan, no shuffle.
     """
     kind = dict(df.dtypes)[key]
-    index = TemplateIndex.made(TEMPLATES if templates is None else templates, least)
+    index = TemplateIndex.made(TEMPLATES, least, HELD) if templates is None else TemplateIndex.made(templates, least)
 
     def work(batch):
         for part in slices(batch):

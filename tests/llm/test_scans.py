@@ -61,6 +61,15 @@ def test_license_wordings_are_found_with_their_spans(spark):
     assert got[6] == [("cc-by-nc-4.0", 0, 27), ("cc-by-nc-4.0", 29, 56)]
 
 
+def test_versions_and_variants_are_told_apart():
+    index = licenses.TemplateIndex.made(licenses.TEMPLATES, 0.8, licenses.HELD)
+    for name, wording in licenses.TEMPLATES.items():
+        got = licenses.scan_text(f"some text. {wording} more text", index, 0.8, 0.2)
+        assert [m["license"] for m in got] == [name] and got[0]["coverage"] == 1, name
+    for text in ("Licensed under CC BY-XX 4.0", "Licensed under CC BY 3.0", "licensed under the GNU General Public License, version 1"):
+        assert licenses.scan_text(text, index, 0.8, 0.2) == []
+
+
 def test_one_token_edits_of_short_templates_are_found():
     short = {k: v for k, v in licenses.TEMPLATES.items() if 5 <= len(licenses.token_hashes(v.encode())) <= 9}
     assert len(short) >= 6
