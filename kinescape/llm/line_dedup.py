@@ -186,7 +186,8 @@ def drop_repeated(df: DataFrame, least_words: int = 50, key: str = "doc_id", tex
 
     Every run of at least ``least_words`` words that stands earlier (by ``key``, then place;
     also in the same text) is deleted, wherever in a line it begins or ends; its first
-    occurrence stays, and so does every word outside such runs. Words are parted by white
+    occurrence stays, and so does every word outside such runs. Of words that repeat with a
+    period, so that a run overlaps its earlier occurrence, one period stays. Words are parted by white
     space, line ends among it. Lines left without words go and are counted in n_dropped, with
     empty lines inside a run. A null text stays null with no
     lines; rows equal in key and text are one text and all keep what it keeps. Rows of a null
