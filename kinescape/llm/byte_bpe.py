@@ -33,11 +33,11 @@ def encode(
     def work(batch):
         codes = encoder(path, pattern)
         for part in slices(batch):
-            ids, starts, ends, split = [], [], [], []
-            for s in part.column(1).to_pylist():
-                s = s or ""
-                row = np.frombuffer(codes.encode(s), "<u4")
-                ids.append(row)
+            texts = [s or "" for s in part.column(1).to_pylist()]
+            ids, sizes = codes.encode(texts)
+            ids = np.split(ids, np.cumsum(sizes)[:-1])
+            starts, ends, split = [], [], []
+            for s, row in zip(texts, ids, strict=True):
                 if offsets or not s.isascii():
                     first, last = codes.offsets(s, row) if len(row) else (row, row)
                     split.append(_inside(s, codes, row))
@@ -67,11 +67,12 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     """Replace the column ``ids`` by decoded binary: the bytes of all ids, joined.
 
     Ids may split characters, so bytes are joined before any text is made of them. Null ids
-    give null; an empty list gives no bytes. Other columns stay. Unknown ids are an error.
+    give null; an empty list gives no bytes. Other columns stay, but a column decoded is
+    replaced. Unknown ids are an error. Ids of very long texts are one array, as they came.
     """
-    kept = [c for c in df.columns if c != ids]
+    kept = [c for c in df.columns if c not in (ids, "decoded")]
     schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in kept)
-    place = df.columns.index(ids)
+    place, at = df.columns.index(ids), {c: df.columns.index(c) for c in kept}
 
     def work(batch):
         codes = encoder(path, pattern)
@@ -82,6 +83,6 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
             out = [
                 codes.decode(flat[ends[i] : ends[i + 1]]) if known[i] else None for i in range(len(part))
             ]
-            yield {c: part.column(part.schema.get_field_index(c)) for c in kept} | {"decoded": out}
+            yield {c: part.column(at[c]) for c in kept} | {"decoded": out}
 
     return arrow_rows(df, f"{schema + ', ' if schema else ''}decoded binary", work)

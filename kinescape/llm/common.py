@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -59,13 +62,41 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(IN_ROWS))
 
 
+def range_count(df: DataFrame, wide: int = 64 << 20) -> int:
+    """Ranges to deal ``df`` by: the session's shuffle partitions, more where files hold over ``wide`` bytes for each."""
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    told = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a plan without statistics claims an absurd size
+    return max(told, min(held, 1 << 60) // wide if held < 1 << 52 else 0)
+
+
+def given_back() -> None:
+    """Return what a task's texts and arrays held to the machine: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``IN_ROWS`` rows; a task's memory goes back at its end."""
+    bounded_batches(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            given_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def arrow_rows(
     df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict[str, list]]]
 ) -> DataFrame:
     """``mapInArrow`` with ``work`` giving column dictionaries for each batch."""
-    bounded_batches(df.sparkSession)
-    names = df.sparkSession.createDataFrame([], schema).schema.names
     target = _arrow_schema(df.sparkSession, schema)
+    names = target.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +105,7 @@ def arrow_rows(
                     [_array(columns[n], target.field(n).type) for n in names], schema=target
                 )
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

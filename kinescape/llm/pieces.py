@@ -1,22 +1,29 @@
-"""Byte-level BPE of whole texts through the tokenizers library, a distinct piece at a time.
+"""Byte-level BPE of batches of texts through the tokenizers library, each distinct piece once a batch.
 
-BPE never merges across a match of the splitting pattern, so each distinct piece is encoded
-once per worker by the library and its ids are reused. The memo is bounded: when full it
-starts afresh, which costs time only.
+BPE never merges across a match of the splitting pattern, so a batch's distinct pieces are
+encoded in one call and their ids are dealt out to the texts. Nothing is kept from batch to
+batch but the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import os
+import re
+from itertools import compress
 
 import numpy as np
 import regex
-from tokenizers import models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 #: White space before a blank: there a blank does not start a new match. ASCII part, rest.
-_SPACED = tuple(c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85")
-_WIDE = regex.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+_SPACED = re.compile("[ \t\n\r\x0b\x0c\x1c-\x1f\x85] ").search
+_WIDE = regex.compile("[\u0085   -     　] ")
+#: Signs that are no letter, digit, blank or apostrophe, so that a match begins at them after letters.
+_SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Distinct pieces of one call of the library, and characters of texts encoded at once.
+PIECES, CHARACTERS = 4096, 1 << 22
 
 _ready: dict[tuple[str, str], "PieceEncoder"] = {}
 
@@ -28,89 +35,137 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs of ``sizes`` from ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class PieceEncoder:
-    """Ids of texts by a vocabulary file; ``rank`` files and ``json`` files are read."""
+    """Ids of texts by a vocabulary file; ``rank`` files and ``json`` files are read.
 
-    def __init__(self, path: str, pattern: str, held: int = 1_000_000):
-        self.characters = byte_characters()
-        self.table = {b: c for b, c in enumerate(self.characters)}
+    The pattern must be one that starts a new match at every blank that no white space
+    precedes, as the files' own does; any other is refused.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
+        characters = byte_characters()
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as f:
                 model = json.load(f)["model"]
             vocabulary = model["vocab"]
             merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
             whole = bool(model.get("ignore_merges"))
-            back = {c: b for b, c in enumerate(self.characters)}
-            self.bytes_of = {
-                i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-                for t, i in vocabulary.items()
-            }
+            back = {c: b for b, c in enumerate(characters)}
+            strings = {i: bytes(map(back.__getitem__, t)) if all(c in back for c in t) else t.encode() for t, i in vocabulary.items()}
         else:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
-            vocabulary = {self.mapped(t): r for t, r in ranks.items()}
-            merges = [(self.mapped(a), self.mapped(b)) for a, b in _merges(ranks)]
-            self.bytes_of = {r: t for t, r in ranks.items()}
+            mapped = lambda raw: "".join(map(characters.__getitem__, raw))
+            vocabulary = {mapped(t): r for t, r in ranks.items()}
+            merges = [(mapped(a), mapped(b)) for a, b in _merges(ranks)]
+            strings = {r: t for t, r in ranks.items()}
             whole = True
-        self.model = models.BPE(vocab=vocabulary, merges=merges, ignore_merges=whole)
+        self.library = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=whole))
+        # no byte's character is a blank, so blanks part the pieces of a call
+        self.library.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.split = regex.compile(pattern)
-        self.held = held
-        self.memo: dict[str, bytes] = {}
-        self.single: dict[str, bytes] = {}
-        size = max(self.bytes_of) + 1
-        self.widths = np.zeros(size, np.int64)
-        for i, t in self.bytes_of.items():
+        if self.split.findall("a b") != ["a", " b"] or self.split.findall("Ab.\nc d") != ["Ab", ".", "\n", "c", " d"]:
+            raise ValueError("the pattern must start a match at a blank between words, and part words from signs")
+        # the character of each byte as UTF-16; 255 is in no text and becomes the blank
+        self.codes = np.array([ord(c) for c in characters], "<u2")
+        self.codes[255] = 0x20
+        self.size = max(strings) + 1
+        self.widths = np.zeros(self.size, np.int64)
+        for i, t in strings.items():
             self.widths[i] = len(t)
-        self.strings = [self.bytes_of.get(i, b"") for i in range(size)]
-
-    def mapped(self, raw: bytes) -> str:
-        return "".join(map(self.characters.__getitem__, raw))
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of one match of the pattern, as little-endian 32-bit numbers."""
-        ids = self.single.get(piece)
-        if ids is None:
-            mapped = "".join(map(self.characters.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.single) >= self.held:
-                    self.single.clear()
-                self.single[piece] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        ids = self.piece(chunk) if body.isalpha() else b"".join(map(self.piece, self.split.findall(chunk)))
-        if len(chunk) <= 64:
-            if len(self.memo) >= self.held:
-                self.memo.clear()
-            self.memo[chunk] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text (null: none), as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        if any(s in text for s in _SPACED) or (not text.isascii() and _WIDE.search(text)):
-            chunks = self.split.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            chunks = [" " + x for x in rest]
-            if first:
-                chunks.insert(0, first)
-        get, out = self.memo.get, []
-        for c in chunks:
-            ids = get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                get = self.memo.get
-            out.append(ids)
-        return b"".join(out)
+        self.begins = np.cumsum(self.widths) - self.widths
+        self.raw = np.frombuffer(b"".join([strings.get(i, b"") for i in range(self.size)]), np.uint8)
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of the pattern one after the other, and how many each has."""
+        all_ids, all_sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), PIECES):
+            raw = [*map(str.encode, pieces[at : at + PIECES])]
+            text = self.codes[np.frombuffer(b"\xff".join(raw), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            past = np.cumsum(self.widths[ids])
+            cuts = np.searchsorted(past, np.cumsum([*map(len, raw)]), side="right")
+            all_ids.append(ids)
+            all_sizes.append(np.diff(cuts, prepend=0))
+        return np.concatenate(all_ids), np.concatenate(all_sizes)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct words, each with a blank before it."""
+        return self.chunks(words, False)
+
+    def chunks(self, chunks: list[str], marked: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct words that follow a blank, or of whole matches ``marked`` with a NUL."""
+        plain = np.fromiter(map(str.isalpha, chunks), bool, len(chunks))
+        pieces = [" " + c for c in compress(chunks, plain)]
+        known = dict(zip(pieces, range(len(pieces))))
+        own, counts = [], []
+        for c in compress(chunks, ~plain):
+            if marked and c[:1] == "\0":
+                found = [c[1:]]
+            elif c[-1:] in _SIGNS and c[:-1].isalpha():
+                found = [" " + c[:-1], c[-1]]
+            else:
+                found = self.split.findall(" " + c)
+            counts.append(len(found))
+            own += [known.setdefault(p, len(known)) for p in found]
+        ids, sizes = self.pieces(list(known))
+        begins = np.cumsum(sizes) - sizes
+        rest = np.array(own, np.int64)
+        counts = np.array(counts, np.int64)
+        # ids of the plain words stand first already; those of the others are put after all
+        tail = ids[ragged(begins[rest], sizes[rest])]
+        first, each = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        first[plain], each[plain] = begins[: len(pieces)], sizes[: len(pieces)]
+        past = np.concatenate([[0], np.cumsum(sizes[rest])])
+        cut = np.concatenate([[0], np.cumsum(counts)])
+        first[~plain], each[~plain] = len(ids) + past[cut[:-1]], np.diff(past[cut])
+        return np.concatenate([ids, tail])[ragged(first, each)], each
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words, counts = [], []
+        for text in texts:
+            before = len(words)
+            if "\0" in text or _SPACED(text) or (not text.isascii() and _WIDE.search(text)):
+                words += ["\0" + p for p in self.split.findall(text)]
+            elif text:
+                first, *rest = text.split(" ")
+                words += ["\0" + p for p in self.split.findall(first)]
+                words += rest
+            counts.append(len(words) - before)
+        distinct = list(dict.fromkeys(words))
+        index = dict(zip(distinct, range(len(distinct))))
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        del words, index
+        ids, sizes = self.chunks(distinct)
+        each = sizes[at]
+        past = np.concatenate([[0], np.cumsum(each)])
+        cut = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return ids[ragged((np.cumsum(sizes) - sizes)[at], each)], np.diff(past[cut])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (int32) of whole texts one after the other (null: none), and how many each has."""
+        out, some, held = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], [], 0
+        for text in texts:
+            some.append(text or "")
+            held += len(some[-1])
+            if held >= CHARACTERS:
+                out.append(self._encoded(some))
+                some, held = [], 0
+        if some:
+            out.append(self._encoded(some))
+        ids, sizes = zip(*out, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for; a character may be split between ids."""
-        strings = self.strings
-        return b"".join([strings[i] for i in ids.tolist()])
+        return self.raw[ragged(self.begins[ids], self.widths[ids])].tobytes()
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and past-the-last character of each id; an id inside a character has that one."""
@@ -122,8 +177,9 @@ class PieceEncoder:
 
 
 def encoder(path: str, pattern: str) -> PieceEncoder:
-    """The worker's encoder of this vocabulary, kept between tasks."""
+    """The worker's encoder of this vocabulary; of two vocabularies only the last stays."""
     if (path, pattern) not in _ready:
+        _ready.clear()
         _ready[path, pattern] = PieceEncoder(path, pattern)
     return _ready[path, pattern]
 

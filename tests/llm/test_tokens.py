@@ -30,26 +30,37 @@ def strange(seed):
     return "".join(draw.choice(parts) for _ in range(draw.randrange(40)))
 
 
+def each(codes, texts):
+    ids, sizes = codes.encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_ids_equal_the_library_for_the_ranks(plain):
-    own = encoder(RANKS, P.PATTERN)
-    texts = [t or "" for _, t in EDGES] + [strange(i) for i in range(3000)]
-    for t in texts:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == plain.encode_ordinary(t)
+    texts = [t for _, t in EDGES] + [strange(i) for i in range(3000)] + ["\0nul word", "a \0b \0", "x. y, z\n! 'tis"]
+    assert each(encoder(RANKS, P.PATTERN), texts) == [plain.encode_ordinary(t or "") for t in texts]
 
 
 def test_json_ids_equal_its_library():
-    own, full = encoder(JSON, P.PATTERN), Tokenizer.from_file(JSON)
+    full = Tokenizer.from_file(JSON)
     full.encode_special_tokens = True
-    for t in [t or "" for _, t in EDGES] + [strange(i) for i in range(1000)]:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids
+    texts = [t or "" for _, t in EDGES] + [strange(i) for i in range(1000)]
+    assert each(encoder(JSON, P.PATTERN), texts) == [full.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_small_calls_give_the_same_ids(plain, monkeypatch):
+    from kinescape.llm import pieces
 
+    monkeypatch.setattr(pieces, "PIECES", 3)
+    monkeypatch.setattr(pieces, "CHARACTERS", 20)
+    texts = ["one two three four five one two three six, seven! eight", "", None, "nine ten one"] * 3
+    assert each(encoder(RANKS, P.PATTERN), texts) == [plain.encode_ordinary(t or "") for t in texts]
 
-def test_full_memos_start_afresh(plain):
+
+def test_another_pattern_is_refused():
     from kinescape.llm.pieces import PieceEncoder
 
-    small = PieceEncoder(RANKS, P.PATTERN, held=3)
-    text = "one two three four five one two three six, seven! eight"
-    assert np.frombuffer(small.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+    with pytest.raises(ValueError):
+        PieceEncoder(RANKS, "[a-z]+|[A-Z]+|.")
 
 
 def test_round_trip_and_offsets(spark, edges, plain):
@@ -98,16 +109,28 @@ def test_packing_holds_every_id_once(edges):
         assert list(rows.offset) == [0, *ends[:-1]] and ends.iloc[-1] <= 2048
 
 
-def test_packer_pads_little():
+def test_packer_pads_nothing_and_leaves_most_whole():
     draw = np.random.default_rng(0)
-    packer, out = HarmonicPacker(256, 16), []
-    for d in range(800):
-        out += packer.add(d, np.arange(int(draw.integers(1, 900))))
+    packer, out, sizes = HarmonicPacker(256, 8), [], draw.integers(1, 900, 800)
+    for d, n in enumerate(sizes.tolist()):
+        out += packer.add(d, np.arange(n))
     out += packer.finish()
-    fill = {}
-    for _, _, ids, _, sequence, _ in out:
+    fill, pieces = {}, {}
+    for d, start, ids, total, sequence, offset in out:
+        assert offset == fill.get(sequence, 0) and total == sizes[d]
         fill[sequence] = fill.get(sequence, 0) + len(ids)
-    lost = sum(256 - n for n in fill.values() if n & (n - 1))
-    assert max(fill.values()) <= 256 and lost < 0.02 * sum(fill.values())
+        pieces.setdefault(d, []).append((start, len(ids)))
+    assert max(fill.values()) <= 256 and not [n for n in fill.values() if n & (n - 1)]
+    for d, parts in pieces.items():
+        parts.sort()
+        assert [a for a, _ in parts] == np.cumsum([0, *(n for _, n in parts[:-1])]).tolist() and sum(n for _, n in parts) == sizes[d]
+    short = [d for d in pieces if sizes[d] <= 256]
+    assert sum(len(pieces[d]) == 1 for d in short) > 0.5 * len(short)
     with pytest.raises(ValueError):
         HarmonicPacker(100)
+
+
+def test_equal_lengths_fill_their_class():
+    packer = HarmonicPacker(64, 0)
+    out = [p for d in range(9) for p in packer.add(d, np.arange(21))]  # three of 21 leave a place
+    assert out == [] and len(packer.waiting) == 3 and all(len(h) == 3 for _, _, h in packer.waiting)
