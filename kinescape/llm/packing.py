@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from kinescape.llm.common import _arrow_schema, bounded_batches
+from kinescape.llm.common import _arrow_schema, mapped
 from kinescape.llm.pieces import encoder
 
 #: Worker number in the upper bits of a sequence id, the worker's own count below.
@@ -18,44 +19,59 @@ WORKER_BITS = 36
 
 
 class HarmonicPacker:
-    """One worker's open bins.
-
-    A class k holds pieces of at most capacity // k ids, k of them a bin. A document gives
-    full bins (class 1), then slots of half, quarter, ... capacity down to ``least`` for what
-    remains, then one tail below ``least``, which goes whole to class capacity // length.
-    Slots of a power of two fill their bins exactly. Bins still open at the end are poured,
-    in order of class, into sequences whose lengths are powers of two, so no place is padded
-    but in the tail classes' bins.
+    """One worker's bins.
+
+    A document gives full sequences of its own first. What remains, ``length`` ids, belongs to
+    class capacity // length: a bin of class k takes k whole remainders, so each is longer than
+    capacity / (k + 1) and none is cut. A bin that has its count waits with the room that is
+    left. A later remainder goes whole into the waiting bin of least room that holds it; only
+    when ``held`` bins wait is one cut, into the waiting bins from the least room up. Bins still
+    unfilled at the end are poured, in order of class, into sequences whose lengths are powers
+    of two. So no sequence is padded.
     """
 
-    def __init__(self, capacity: int = 2048, least: int = 64):
-        if capacity < 1 or capacity & (capacity - 1) or least & (least - 1) or not 1 <= least <= capacity:
-            raise ValueError("capacity and least must be powers of two, least no more than capacity")
-        self.capacity, self.least = capacity, least
+    def __init__(self, capacity: int = 2048, held: int = 64):
+        if capacity < 1 or capacity & (capacity - 1) or held < 0:
+            raise ValueError("capacity must be a power of two, and no fewer than no bins held")
+        self.capacity, self.held = capacity, held
         self.open: dict[int, list] = {}
-        self.count = 0
+        self.waiting: list[tuple[int, int, list]] = []  # room, number, pieces; by room
+        self.count = self.number = 0
 
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
-        """Pieces of full bins: doc, start, ids, doc_tokens, sequence, offset."""
-        at, total, size = 0, len(ids), self.capacity
-        while total - at >= size:
-            yield doc, at, ids[at : at + size], total, self.count, 0
-            self.count += 1
-            at += size
-        while size > self.least:
-            size >>= 1
-            if total - at >= size:
-                yield from self._put(self.capacity // size, (doc, at, ids[at : at + size], total))
-                at += size
+        """Pieces of filled sequences: doc, start, ids, doc_tokens, sequence, offset."""
+        at, total = 0, len(ids)
+        while total - at >= self.capacity:
+            yield from self._close([(doc, at, ids[at : at + self.capacity], total)])
+            at += self.capacity
         if at < total:
-            yield from self._put(self.capacity // (total - at), (doc, at, ids[at:], total))
-
-    def _put(self, k: int, piece: tuple) -> Iterator[tuple]:
-        held = self.open.setdefault(k, [])
-        held.append(piece)
-        if len(held) == k:
+            yield from self._put((doc, at, ids[at:], total))
+
+    def _put(self, piece: tuple) -> Iterator[tuple]:
+        size = len(piece[2])
+        at = bisect.bisect_left(self.waiting, (size,))
+        if at < len(self.waiting):
+            room, _, held = self.waiting.pop(at)
+            yield from self._wait(room - size, [*held, piece])
+        elif self.held and len(self.waiting) >= self.held:
+            room, _, held = self.waiting.pop(0)  # every room is less than the piece
+            doc, start, ids, total = piece
+            yield from self._close([*held, (doc, start, ids[:room], total)])
+            yield from self._put((doc, start + room, ids[room:], total))
+        else:
+            k = self.capacity // size
+            held = self.open.setdefault(k, [])
+            held.append(piece)
+            if len(held) == k:
+                del self.open[k]
+                yield from self._wait(self.capacity - sum(len(p[2]) for p in held), held)
+
+    def _wait(self, room: int, held: list) -> Iterator[tuple]:
+        if room:
+            self.number += 1
+            bisect.insort(self.waiting, (room, self.number, held))
+        else:
             yield from self._close(held)
-            held.clear()
 
     def _close(self, held: list) -> Iterator[tuple]:
         offset = 0
@@ -66,9 +82,10 @@ class HarmonicPacker:
 
     def finish(self) -> Iterator[tuple]:
         """Pieces of the bins still open, cut anew to lengths that are powers of two."""
-        held = [p for k in sorted(self.open) for p in self.open[k]]
+        held = [p for _, _, own in self.waiting for p in own] + [p for k in sorted(self.open) for p in self.open[k]]
         left = sum(len(p[2]) for p in held)
         self.open.clear()
+        self.waiting.clear()
         room, offset = 0, 0
         for doc, start, ids, total in held:
             while len(ids):
@@ -87,7 +104,7 @@ def pack(
     pattern: str,
     capacity: int = 2048,
     end_id: int = 1,
-    least: int = 64,
+    held: int = 64,
     key: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
@@ -101,21 +118,21 @@ def pack(
     ordinary text. Every worker packs its own partition in one scan: nothing is shuffled, and
     a task that is run again over the same rows gives the same sequences.
     """
-    bounded_batches(df.sparkSession)
     kind = dict(df.dtypes)[key]
     schema = (
         f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
         "sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     )
     target = _arrow_schema(df.sparkSession, schema)
-    end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        codes, packer = encoder(path, pattern), HarmonicPacker(capacity, least)
+        codes, packer = encoder(path, pattern), HarmonicPacker(capacity, held)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for doc, s in zip(keys, batch.column(1).to_pylist(), strict=True):
-                yield from packer.add(doc, np.frombuffer(codes.encode(s) + end, "<u4"))
+            ids, sizes = codes.encode(batch.column(1).to_pylist())
+            at = 0
+            for doc, n in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                yield from packer.add(doc, np.append(ids[at : at + n], np.int32(end_id)))
+                at += n
         yield from packer.finish()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +145,11 @@ def pack(
             return pa.RecordBatch.from_arrays(columns, schema=target)
 
         for doc, start, ids, total, sequence, offset in rows(batches):
-            row = (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + sequence, offset)
-            out.append((*row, ids.astype(np.int32)) if with_ids else row)
+            row = (doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), total, base + sequence, offset)
+            out.append((*row, ids) if with_ids else row)
             if len(out) >= (512 if with_ids else 8192):
                 yield batch()
         if out:
             yield batch()
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return mapped(df.select(key, text), run, schema)
