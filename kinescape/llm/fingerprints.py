@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinescape.llm.common import OUT_ROWS, _arrow_schema, bounded_batches
+from kinescape.llm.common import OUT_ROWS, _arrow_schema, arrow_rows, mapped, range_count, stored
 
 #: Second and third byte of the triplets in a window of five, and the number of buckets.
 TRIPLETS, BUCKETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)), 256
@@ -65,92 +66,76 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - min(apart, bound) / bound
 
 
-def _parts(df: DataFrame, order: str, count: int) -> tuple[DataFrame, list[int]]:
-    """``df`` with a column part of at most ``count`` ranges of ``order``, and each range's least value."""
-    steps = [i / count for i in range(1, count)]
-    told = df.agg(F.percentile_approx(order, steps, 50 * count) if steps else F.array()).first()[0] or []
-    bounds = sorted(set(told))
-    if not bounds:
-        return df.withColumn("part", F.lit(0)), []
-    wide = max(1, math.isqrt(len(bounds)))
-    tops = F.array(*(F.lit(b) for b in bounds[::wide]))
-    every = F.array(*(F.lit(b) for b in bounds))
-    at = F.size(F.filter(tops, lambda b: b <= F.col(order)))
-    inner = F.size(F.filter(F.slice(every, F.greatest((at - 1) * wide + 1, F.lit(1)), wide), lambda b: b <= F.col(order)))
-    return df.withColumn("part", F.when(at == 0, 0).otherwise((at - 1) * wide + inner)), bounds
-
-
 def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of each text and of its edited text, and likenesses, one row per row.
 
     The edited text has the last n_chars // 4 code points replaced by as many first ones of
     the next text (or all of it) in ascending ``key``; after the last comes the first. Nulls
-    of ``key`` come last, rows of one key by text; a null text is empty. A single row is its
-    own successor. Returns ``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.
+    of ``key`` come last, rows of one key by a hash of the text; a null text is empty. A single
+    row is its own successor. Returns ``key``, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next. Other columns are not read.
 
-    Texts are dealt once, by ranges of ``key``; the first row of each range also goes to the
-    range before, so every task finds all successors in its own sorted rows.
+    Texts are dealt once, by ranges of key, hash and a random number, so no key or repeated
+    row is too large for a range. Each range also tells its first and its last text; the
+    last is settled with the next range's first in a second, small step.
     """
-    bounded_batches(df.sparkSession)
-    spark = df.sparkSession
-    kind = dict(df.dtypes)[key]
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    texts = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
-        F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"),
+        F.col(key).alias("key"), texts.alias("text"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"),
+        F.xxhash64(texts).alias("h"), F.rand(3).alias("r"),
     )
-    count = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, _ = _parts(rows, "k", min(count, 4000))
-    # at most 4000 ranges
-    firsts = sorted((r.part, r.k) for r in dealt.groupBy("part").agg(F.min("k").alias("k")).collect())
-    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    border = spark.createDataFrame(before, "k long, part int")
-    own = dealt.select("part", F.lit(0).alias("border"), "k", "key", "text")
-    copies = (
-        rows.join(F.broadcast(border), "k")
-        .select("part", F.lit(1).alias("border"), "k", F.lit(None).cast(kind).alias("key"), "text")
-    )
-    stream = own.unionByName(copies).repartition("part").sortWithinPartitions("part", "border", "k", "text")
-    schema = (
+    dealt = rows.repartitionByRange(range_count(df), "k", "h", "r").sortWithinPartitions("k", "h", "text").select("key", "text")
+    told = (
         f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"
     )
+    schema = f"{told}, `part of` int, `first of` string, `last of` string"
     target = _arrow_schema(spark, schema)
 
-    def row(now: tuple, after: str, codes: np.ndarray) -> tuple:
-        name, s, own_codes = now
-        cut = len(s) // 4
-        edited = (s[: len(s) - cut] + after[:cut]).encode()
-        new = quartiles(edited)
-        return (
-            name, len(s), hashlib.sha256(edited).hexdigest(), digest(own_codes), digest(new),
-            likeness(own_codes, new), likeness(own_codes, codes),
-        )
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, schema=target)
-
-        held, part = None, None
+        out, first, held = [], None, None
         for b in batches:
-            for p, flag, name, s in zip(
-                *(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True
-            ):
-                if p != part:
-                    held, part = None, p
-                if flag and held is None:
-                    continue  # more rows of the bordering key
+            for name, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 codes = quartiles(s.encode())
-                if held is not None:
-                    out.append(row(held, s, codes))
-                held = None if flag else (name, s, codes)
+                if held is None:
+                    first = s
+                else:
+                    out.append((*_row(*held, s, codes), None, None, None))
+                held = name, s, codes
                 if len(out) >= OUT_ROWS:
-                    yield batch()
-        if out:
-            yield batch()
-
-    return stream.mapInArrow(run, schema)
+                    yield batch(out)
+        if held is not None:
+            out.append((held[0], *[None] * 6, TaskContext.get().partitionId(), first, held[1]))
+            yield batch(out)
+
+    found = stored(mapped(dealt, run, schema))
+    ends = found.where("`part of` IS NOT NULL")
+    parts = sorted(r[0] for r in ends.select("part of").collect())  # a number for each range
+    after = spark.createDataFrame([*zip(parts, parts[1:] + parts[:1], strict=True)], "`part of` int, `next` int")
+    successor = ends.select(F.col("part of").alias("next"), F.col("first of").alias("successor"))
+    pairs = ends.join(after, "part of").join(successor, "next").select(key, "last of", "successor")
+
+    def settle(b: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        rows = [
+            _row(name, s, quartiles(s.encode()), t, quartiles(t.encode()))
+            for name, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True)
+        ]
+        if rows:
+            yield dict(zip(target.names, map(list, zip(*rows, strict=True)), strict=False))
+
+    return found.where("`part of` IS NULL").select(*target.names[:7]).unionByName(arrow_rows(pairs, told, settle))
+
+
+def _row(name, s: str, own: np.ndarray, after: str, codes: np.ndarray) -> tuple:
+    cut = len(s) // 4
+    edited = (s[: len(s) - cut] + after[:cut]).encode()
+    new = quartiles(edited)
+    return (
+        name, len(s), hashlib.sha256(edited).hexdigest(), digest(own), digest(new), likeness(own, new), likeness(own, codes)
+    )
