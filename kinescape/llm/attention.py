@@ -1,8 +1,10 @@
 """A small causal self-attention model in numpy: probabilities, gradients, training.
 
-Ids are predicted in two steps: a class of ids by the network, the id within its class by
-counts. A text is one start, its ids and one end; windows overlap by half, and the last half
-of a window's places is scored, so each id is scored once with at least half a window behind it.
+A word is a run of subword ids. The network attends over the words before it, each described
+by its first and its last id, and predicts a class of first ids; the id within its class comes
+from counts, as do the ids that follow inside a word and the word's end. A text is one start,
+its words and one end; windows overlap by half, and the last half of a window's places is
+scored, so each word is scored once with half a window behind it at least.
 """
 
 from __future__ import annotations
@@ -11,48 +13,98 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Places of a window and its step; sizes of embeddings, the hidden layer and the classes.
-WINDOW, STEP, WIDTH, HIDDEN, CLASSES = 16, 8, 16, 16, 48
-#: Ids of own embedding, by falling count; the rest share so many rows.
+#: Places of a window and its step; sizes of a word's vector, the hidden layer and the classes.
+WINDOW, STEP, WIDTH, HIDDEN, CLASSES = 16, 8, 16, 32, 64
+#: Ids of own embedding, by falling count; the rest share so many rows. After them the start.
 OWN, SHARED = 4096, 1024
-_HALF_BLOCK = 1024  # windows at once
+#: Ids whose pairs inside words are counted each on its own; ids whose following counts make classes.
+PAIRED, LEADERS = 2048, 256
+#: Share of each seen pair's count that goes to the ids' own frequency.
+DISCOUNT = 0.75
+_HALF, _SCALE = WIDTH // 2, np.float32(WIDTH**-0.5)
 _MASKED = np.float32(-1e9)
+_BACK = np.arange(WINDOW - STEP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+_NEAR = np.clip(_BACK, 0, WINDOW - 1)
+#: Places a scored place may not see: what comes after it; in a text's first window also all before.
+_AHEAD = np.where(_BACK < 0, _MASKED, np.float32(0))
+_FIRST = np.where((_BACK < 0) | (np.arange(WINDOW) < WINDOW - STEP), _MASKED, np.float32(0)).astype(np.float32)
+
+
+def ranked(counts: np.ndarray, most: int) -> np.ndarray:
+    """Place of each of the ``most`` greatest counts, -1 for all others."""
+    out = np.full(len(counts), -1, np.int64)
+    order = np.argsort(-counts, kind="stable")[:most]
+    out[order] = np.arange(len(order))
+    return out
 
 
 @dataclass
 class Vocabulary:
-    """Row of the embedding, class, and log10 probability within the class, of each id.
+    """Embedding row, class and log10 probability within the class of each id, and of what follows inside words.
 
-    The id after the last is the end of a text, the one after it the start.
+    The id after the last is a text's end, as a first id, and a word's end, as a following one.
     """
 
     row: np.ndarray
     group: np.ndarray
     inner: np.ndarray
+    place: np.ndarray  # of an id among the paired ones, the word's end last; -1
+    pairs: np.ndarray  # log10 of what follows: paired ids by paired ids and the word's end
+    follow: np.ndarray  # log10 of an id's or the word's end's own share of all that follows
+    spare: np.ndarray  # log10 of the weight of that share after each paired id
 
     @property
     def end(self) -> int:
-        return len(self.row) - 2
+        return len(self.group) - 1
 
     @classmethod
-    def made(cls, counts: np.ndarray, after: np.ndarray) -> "Vocabulary":
-        """From counts of each id and the end, and counts of what follows (ids by most frequent ids)."""
-        total = len(counts)
-        order = np.argsort(-counts, kind="stable")
-        row = np.empty(total + 1, np.int32)
-        row[order] = np.arange(total)
-        far = row >= OWN
-        row[far] = OWN + (np.arange(total + 1)[far] * 2654435761 % SHARED)
-        row[total] = OWN + SHARED
-        group = _grouped(order, after)
-        sums = np.bincount(group, weights=counts + 1.0, minlength=CLASSES)
-        inner = np.log10((counts + 1.0) / sums[group])
-        # a start is never predicted; its entries only keep places in range
-        return cls(row, np.append(group, 0).astype(np.int32), np.append(inner, 0).astype(np.float32))
-
-
-def _grouped(order: np.ndarray, after: np.ndarray) -> np.ndarray:
+    def made(cls, firsts: np.ndarray, follows: np.ndarray, pairs: np.ndarray, after: np.ndarray, lasts: np.ndarray) -> "Vocabulary":
+        """From counts of first ids (with text ends), of following ids (with word ends), of pairs of paired
+        ids and, last, of all that followed each, and of first ids by the first id of the word before."""
+        size = len(firsts) - 1
+        known = ranked(firsts[:size] + lasts, OWN)
+        row = np.where(known >= 0, known, OWN + np.arange(size) * 2654435761 % SHARED).astype(np.int32)
+        group = _grouped(firsts, after)
+        sums = np.bincount(group, weights=firsts + 1.0, minlength=CLASSES)
+        share = (follows + 1.0) / (follows.sum() + len(follows))
+        counts, total = pairs[:, :-1].astype(np.float64), np.maximum(pairs[:, -1:], 1).astype(np.float64)
+        seen = np.minimum(counts, DISCOUNT)
+        spare = 1 - (counts - seen).sum(axis=1, keepdims=True) / total
+        place = paired(follows, lasts)
+        column = np.empty(counts.shape[1])
+        column[place[place >= 0]] = share[np.flatnonzero(place >= 0)]
+        told = np.log10((counts - seen) / total + spare * column[None, : counts.shape[1]])
+        return cls(
+            row, group.astype(np.int32), np.log10((firsts + 1.0) / sums[group]).astype(np.float32), place,
+            told.astype(np.float32), np.log10(share).astype(np.float32), np.log10(spare[:, 0]).astype(np.float32),
+        )
+
+    def tails(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each word's ids after the first and of its end; 0 for no ids."""
+        if not len(ids):
+            return np.zeros(len(sizes))
+        ends = np.cumsum(sizes)
+        after = np.append(ids[1:], 0).astype(np.int64)
+        after[ends[sizes > 0] - 1] = self.end
+        p, q = self.place[ids], self.place[after]
+        p = np.where(p == len(self.spare), -1, p)
+        steps = self.follow[after].astype(np.float64) + np.where(p >= 0, self.spare[p], 0)
+        both = (p >= 0) & (q >= 0)
+        steps[both] = self.pairs[p[both], q[both]]
+        past = np.concatenate([[0.0], np.cumsum(steps)])
+        return past[ends] - past[ends - sizes]
+
+
+def paired(follows: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """Place of each paired id, and of the word's end (the last of ``follows``) after all of them; -1."""
+    size = len(follows) - 1
+    place = ranked(follows[:size] + lasts, min(PAIRED, size))
+    return np.append(place, min(PAIRED, size))
+
+
+def _grouped(firsts: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Classes: the most frequent ids by what they follow (k-means of square roots), others by count."""
+    order = np.argsort(-firsts, kind="stable")
     rows = min(len(order), OWN, len(after))
     share = np.sqrt(after[:rows] / np.maximum(after[:rows].sum(axis=1, keepdims=True), 1))
     wanted = min(CLASSES - 8, rows)
@@ -76,7 +128,8 @@ def fresh() -> dict[str, np.ndarray]:
     draw = np.random.default_rng(11)
     normal = lambda *shape, scale: draw.normal(0, scale, shape).astype(np.float32)
     return {
-        "embed": normal(OWN + SHARED + 1, WIDTH, scale=0.3),
+        "head": normal(OWN + SHARED + 1, _HALF, scale=0.3),
+        "tail": normal(OWN + SHARED + 1, _HALF, scale=0.3),
         "query": normal(WIDTH, WIDTH, scale=0.25),
         "key": normal(WIDTH, WIDTH, scale=0.25),
         "value": normal(WIDTH, WIDTH, scale=0.25),
@@ -88,151 +141,149 @@ def fresh() -> dict[str, np.ndarray]:
     }
 
 
-def windows(length: int, before: int = 0) -> np.ndarray:
-    """Places of each window over ``length`` places of a stream after ``before`` others.
-
-    Places before all are -1, past the end the last.
-    """
-    at = np.arange(before, before + length, STEP)[:, None] - (WINDOW - STEP) + np.arange(WINDOW)
-    return np.minimum(np.where(at < 0, -1, at), before + length - 1)
-
-
-def _distance() -> np.ndarray:
-    back = np.arange(WINDOW - STEP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    return np.clip(back, 0, WINDOW - 1)
-
-
-def forward(p: dict[str, np.ndarray], rows: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-    """Batched masked attention of windows (rows of the embedding), and class log probabilities."""
-    x = p["embed"][rows]
-    last = np.ascontiguousarray(x[:, WINDOW - STEP :])
-    q, k, v = last @ p["query"], x @ p["key"], x @ p["value"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
-    s += p["place"][0][_distance()]
-    s += mask
+@dataclass
+class Stream:
+    """Places of texts, each padded to a multiple of the step: embedding rows of the word seen there,
+    class of the one to come (-1 where there is none), and whether a step begins its text."""
+
+    head: np.ndarray
+    tail: np.ndarray
+    wanted: np.ndarray
+    begins: np.ndarray
+
+    def windows(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the windows that score the given steps, and which of them begin a text."""
+        at = np.maximum(steps[:, None] * STEP - (WINDOW - STEP) + np.arange(WINDOW), 0)
+        return self.head[at], self.tail[at], self.begins[steps]
+
+
+def _attended(q, k, v, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    s += place[0][_NEAR] + _AHEAD
+    if first.any():
+        s[first] += _FIRST
     s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(axis=2, keepdims=True)
-    joined = np.concatenate([last, np.matmul(s, v)], axis=2).reshape(-1, 2 * WIDTH)
+    return s, np.matmul(s, v)
+
+
+def forward(p: dict[str, np.ndarray], head: np.ndarray, tail: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """Batched masked attention of windows, and the classes' scores."""
+    x = np.concatenate([p["head"][head], p["tail"][tail]], axis=2)
+    last = np.ascontiguousarray(x[:, WINDOW - STEP :])
+    flat = x.reshape(-1, WIDTH)
+    q = (last.reshape(-1, WIDTH) @ (p["query"] * _SCALE)).reshape(last.shape)
+    k, v = (flat @ p["key"]).reshape(x.shape), (flat @ p["value"]).reshape(x.shape)
+    a, context = _attended(q, k, v, p["place"], first)
+    joined = np.concatenate([last, context], axis=2).reshape(-1, 2 * WIDTH)
     h = np.tanh(joined @ p["inner"] + p["bias"])
     # bounded by the hidden layer's range, so no maximum need be taken off
     z = h @ p["out"] + p["level"]
-    e = np.exp(z)
-    total = e.sum(axis=1)
-    return {"x": x, "last": last, "q": q, "k": k, "v": v, "a": s, "joined": joined, "h": h, "z": z, "e": e, "sum": total}
+    return {"x": flat, "last": last, "q": q, "k": k, "v": v, "a": a, "joined": joined, "h": h, "z": z, "e": np.exp(z)}
+
+
+def gradients(p, head, tail, first, wanted) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the places that want a class, and the gradient of every weight."""
+    f = forward(p, head, tail, first)
+    sums = f["e"].sum(axis=1)
+    at = np.flatnonzero(wanted >= 0)
+    n = max(len(at), 1)
+    loss = -float((f["z"][at, wanted[at]] - np.log(sums[at])).sum()) / n
+    dz = f["e"]
+    dz *= (np.where(wanted >= 0, 1 / n, 0) / sums)[:, None].astype(np.float32)
+    dz[at, wanted[at]] -= np.float32(1 / n)
+    g = {"out": f["h"].T @ dz, "level": dz.sum(axis=0, keepdims=True)}
+    dh = dz @ p["out"].T
+    dh *= 1 - f["h"] ** 2
+    g["inner"], g["bias"] = f["joined"].T @ dh, dh.sum(axis=0, keepdims=True)
+    dj = (dh @ p["inner"].T).reshape(-1, STEP, 2 * WIDTH)
+    dlast, dc = dj[:, :, :WIDTH], np.ascontiguousarray(dj[:, :, WIDTH:])
+    dv = np.matmul(f["a"].transpose(0, 2, 1), dc).reshape(-1, WIDTH)
+    da = np.matmul(dc, f["v"].transpose(0, 2, 1))
+    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
+    g["place"] = np.bincount(_NEAR.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)[None].astype(np.float32)
+    dq = np.matmul(ds, f["k"]).reshape(-1, WIDTH) * _SCALE
+    dk = np.matmul(ds.transpose(0, 2, 1), f["q"]).reshape(-1, WIDTH)
+    g["query"] = f["last"].reshape(-1, WIDTH).T @ dq
+    g["key"], g["value"] = f["x"].T @ dk, f["x"].T @ dv
+    dx = (dk @ p["key"].T + dv @ p["value"].T).reshape(-1, WINDOW, WIDTH)
+    dx[:, WINDOW - STEP :] += dlast + (dq @ p["query"].T).reshape(-1, STEP, WIDTH)
+    own = np.arange(_HALF)
+    for name, rows, part in (("head", head, dx[:, :, :_HALF]), ("tail", tail, dx[:, :, _HALF:])):
+        cells = (rows.reshape(-1, 1) * _HALF + own).ravel()
+        g[name] = np.bincount(cells, weights=part.ravel(), minlength=p[name].size).reshape(p[name].shape).astype(np.float32)
+    return loss, g
+
+
+class Learner:
+    """Adam over batches of windows."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.one, self.two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.rate, self.t, self.loss, self.places = rate, 0, 0.0, 0
+
+    def learn(self, stream: Stream, batch: int = 256) -> None:
+        """One pass over all windows of a stream, in an order that depends on their number alone."""
+        steps = np.random.default_rng(len(stream.begins)).permutation(len(stream.begins))
+        places = np.arange(STEP)
+        for at in range(0, len(steps), batch):
+            some = steps[at : at + batch]
+            wanted = stream.wanted[some[:, None] * STEP + places].ravel()
+            loss, g = gradients(self.p, *stream.windows(some), wanted)
+            n = int((wanted >= 0).sum())
+            self.loss, self.places, self.t = self.loss + n * loss, self.places + n, self.t + 1
+            pace = np.float32(self.rate / (1 - 0.9**self.t))
+            least = np.float32(1 / (1 - 0.99**self.t))
+            for k, d in g.items():
+                one, two = self.one[k], self.two[k]
+                one += np.float32(0.1) * (d - one)
+                d *= d
+                two += np.float32(0.01) * (d - two)
+                np.sqrt(two * least, out=d)
+                d += np.float32(1e-8)
+                self.p[k] -= pace * one / d
 
 
 class Scorer:
-    """The model ready for scoring: what depends on an id alone is projected once for each row."""
-
-    def __init__(self, p: dict[str, np.ndarray], words: Vocabulary):
-        self.words, self.p = words, p
-        self.late = np.concatenate([p["embed"], p["embed"] @ p["query"] * np.float32(WIDTH**-0.5)], axis=1)
-        self.seen = np.concatenate([p["embed"] @ p["key"], p["embed"] @ p["value"]], axis=1)
-        self.near = _owner_mask(np.zeros((1, WINDOW), int)) + p["place"][0][_distance()]
-
-    def classes(self, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class scores of each scored place, and the logarithm of their exponentials' sum."""
-        late, seen = self.late[rows[:, WINDOW - STEP :]], self.seen[rows]
-        s = np.matmul(late[:, :, WIDTH:], seen[:, :, :WIDTH].transpose(0, 2, 1))
-        s += self.near
-        mixed = np.flatnonzero((owner != owner[:, -1:]).any(axis=1))
-        if len(mixed):
-            s[mixed] += _owner_mask(owner[mixed])
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        late[:, :, WIDTH:] = np.matmul(s, seen[:, :, WIDTH:])
-        h = late.reshape(-1, 2 * WIDTH) @ self.p["inner"]
+    """The model ready for scoring: what depends on a word alone is projected once for each row."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = p
+        self.parts = []
+        for name, at in (("head", 0), ("tail", _HALF)):
+            e, own = p[name], slice(at, at + _HALF)
+            self.parts.append(
+                np.concatenate([e @ p["query"][own] * _SCALE, e @ p["key"][own], e @ p["value"][own], e @ p["inner"][own]], axis=1)
+            )
+
+    def classes(self, stream: Stream, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the classes at each place of the steps lo to hi, and the logarithm of their exponentials' sum."""
+        before = max(lo - 1, 0)
+        own = slice(before * STEP, hi * STEP)
+        seen = self.parts[0][stream.head[own]]
+        seen += self.parts[1][stream.tail[own]]
+        seen = seen.reshape(-1, STEP, 3 * WIDTH + HIDDEN)
+        if lo == 0:  # the first window of all sees nothing before
+            seen = np.concatenate([seen[:1], seen])
+        k, v = (np.concatenate([seen[:-1, :, a : a + WIDTH], seen[1:, :, a : a + WIDTH]], axis=1) for a in (WIDTH, 2 * WIDTH))
+        _, context = _attended(np.ascontiguousarray(seen[1:, :, :WIDTH]), k, v, self.p["place"], stream.begins[lo:hi])
+        h = context.reshape(-1, WIDTH) @ self.p["inner"][WIDTH:]
+        h += seen[1:, :, 3 * WIDTH :].reshape(-1, HIDDEN)
         h += self.p["bias"]
         np.tanh(h, out=h)
         z = h @ self.p["out"]
         z += self.p["level"]
         return z, np.log(np.exp(z).sum(axis=1))
 
-
-def log10_steps(p: dict[str, np.ndarray] | Scorer, words: Vocabulary, stream: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """log10 probability of the id that follows each place of a stream of starts and ids.
-
-    ``stream`` holds, text after text, a start and the text's ids and its end, repeated so that
-    each text begins at a window's step; ``text`` numbers them. The place of an end predicts
-    nothing and is 0. So a text's steps do not depend on its neighbours.
-    """
-    scorer = p if isinstance(p, Scorer) else Scorer(p, words)
-    out = np.zeros(len(stream), np.float32)
-    if not len(stream):
+    def log10(self, stream: Stream, steps: int = 1024) -> np.ndarray:
+        """log10 probability of the class that each place wants; 0 where it wants none."""
+        out = np.zeros(len(stream.wanted), np.float32)
+        for lo in range(0, len(stream.begins), steps):
+            hi = min(lo + steps, len(stream.begins))
+            z, total = self.classes(stream, lo, hi)
+            wanted = stream.wanted[lo * STEP : hi * STEP]
+            own = z[np.arange(len(wanted)), np.maximum(wanted, 0)] - total
+            out[lo * STEP : hi * STEP] = np.where(wanted >= 0, own * np.float32(np.log10(np.e)), 0)
         return out
-    target = np.append(stream[1:], stream[-1])
-    row = words.row[stream]
-    for at in range(0, len(stream), _HALF_BLOCK * STEP):
-        lo = max(0, at - (WINDOW - STEP))
-        hi = min(len(stream), at + _HALF_BLOCK * STEP)
-        places = windows(hi - at, at - lo)
-        seen = np.maximum(places, 0)
-        owner = np.where(places < 0, -1, text[lo:hi][seen])
-        z, total = scorer.classes(row[lo:hi][seen], owner)
-        wanted = words.group[target[at:hi]]
-        step = z[np.arange(hi - at), wanted] - total[: hi - at]
-        out[at:hi] = step * np.float32(np.log10(np.e)) + words.inner[target[at:hi]]
-    out[stream == words.end] = 0
-    return out
-
-
-def _owner_mask(owner: np.ndarray) -> np.ndarray:
-    """Additive mask of scored places (rows) and seen ones (columns): causal, within one text."""
-    ahead = np.arange(WINDOW)[None, :] > np.arange(WINDOW - STEP, WINDOW)[:, None]
-    return np.where((owner[:, None, :] != owner[:, WINDOW - STEP :, None]) | ahead, _MASKED, np.float32(0))
-
-
-def gradients(p, rows, mask, wanted, weight) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over weighted scored places, and the gradient of every weight."""
-    f = forward(p, rows, mask)
-    n = max(float(weight.sum()), 1.0)
-    probability = f["e"] / f["sum"][:, None]
-    at = np.arange(len(wanted))
-    loss = -float(((f["z"][at, wanted] - np.log(f["sum"])) * weight).sum()) / n
-    dz = probability
-    dz[at, wanted] -= 1
-    dz *= (weight / n)[:, None].astype(np.float32)
-    g = {"out": f["h"].T @ dz, "level": dz.sum(axis=0, keepdims=True)}
-    dh = (dz @ p["out"].T) * (1 - f["h"] ** 2)
-    g["inner"], g["bias"] = f["joined"].T @ dh, dh.sum(axis=0, keepdims=True)
-    dj = (dh @ p["inner"].T).reshape(-1, STEP, 2 * WIDTH)
-    dlast, dc = dj[:, :, :WIDTH], dj[:, :, WIDTH:]
-    dv = np.matmul(f["a"].transpose(0, 2, 1), dc)
-    da = np.matmul(dc, f["v"].transpose(0, 2, 1))
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
-    g["place"] = np.bincount(_distance().ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)[None].astype(np.float32)
-    ds = ds * np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g["query"] = flat(f["last"]).T @ flat(dq)
-    g["key"], g["value"] = flat(f["x"]).T @ flat(dk), flat(f["x"]).T @ flat(dv)
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, WINDOW - STEP :] += dlast + dq @ p["query"].T
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], rows.ravel(), flat(dx))
-    return loss, g
-
-
-def train(p, words: Vocabulary, stream, text, chosen, rate: float, batch: int = 256) -> tuple[dict[str, np.ndarray], int]:
-    """One pass of Adam over the ``chosen`` windows of a stream; the weights, and the windows used."""
-    p = {k: v.copy() for k, v in p.items()}
-    if not len(stream) or not len(chosen):
-        return p, 0
-    one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    target = np.append(stream[1:], stream[-1])
-    ends = stream == words.end
-    row = words.row[stream]
-    every = windows(len(stream))
-    for t, at in enumerate(range(0, len(chosen), batch), 1):
-        places = every[chosen[at : at + batch]]
-        seen = np.where(places < 0, 0, places)
-        own = np.where(places < 0, -1, text[seen])
-        scored = seen[:, WINDOW - STEP :].ravel()
-        _, g = gradients(p, row[seen], _owner_mask(own), words.group[target[scored]], (~ends[scored]).astype(np.float32))
-        for k in p:
-            one[k] += 0.1 * (g[k] - one[k])
-            two[k] += 0.01 * (g[k] ** 2 - two[k])
-            p[k] -= np.float32(rate) * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + np.float32(1e-8))
-    return p, len(chosen)

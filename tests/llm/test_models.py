@@ -11,6 +11,8 @@ P = pytest.importorskip("public_tokenizers")
 from kinescape.llm import attention, langid  # noqa: E402
 from kinescape.llm.common import crc_mod  # noqa: E402
 from kinescape.llm.lm_score import score  # noqa: E402
+from kinescape.llm.pieces import encoder  # noqa: E402
+from kinescape.llm.words import words_of  # noqa: E402
 from tests.llm.conftest import EDGES  # noqa: E402
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -47,94 +49,110 @@ def test_language_of_edges(spark, edges, nothing):
 
 
 def test_ids_of_words_equal_those_of_each_alone():
-    from kinescape.llm.lm_score import _word_ids
+    import tiktoken
 
-    codes = _word_ids(RANKS, P.PATTERN)
-    words = ["", "plain", "don't,", "\u00a0odd", "a\x1cb", "\u00e9\u00df", "x" * 500, "12.5", "\U0001f600!", "\x85", "end\u3000"]
-    ids, starts = codes.of([w.encode() for w in words])
-    for i, w in enumerate(words):
-        want = np.frombuffer(codes.slow.encode(" " + w), "<u4").tolist() if w else []
-        assert ids[starts[i] : starts[i + 1]].tolist() == want
+    codes = encoder(RANKS, P.PATTERN)
+    ranks = {codes.decode(np.array([i])): i for i in range(codes.size)}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["plain", "don't,", "\u00a0odd", "a\x1cb", "\u00e9\u00df", "x" * 500, "12.5", "\U0001f600!", "\x85", "end\u3000", "\0n"]
+    ids, sizes = codes.words(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [plain.encode_ordinary(" " + w) for w in words]
 
 
-def test_scoring_equals_the_forward_pass():
-    draw, words = small(4)
-    p = attention.fresh()
-    rows = draw.integers(0, attention.OWN, (5, attention.WINDOW))
-    own = np.sort(draw.integers(0, 2, (5, attention.WINDOW)), axis=1)
-    z, total = attention.Scorer(p, words).classes(rows, own)
-    full = attention.forward(p, rows, attention._owner_mask(own))
-    assert z == pytest.approx(full["z"], abs=1e-4) and total == pytest.approx(np.log(full["sum"]), abs=1e-4)
-
-
-def small(seed=0):
+def small(seed=0, size=100):
     draw = np.random.default_rng(seed)
-    counts = draw.integers(0, 50, 101)
-    words = attention.Vocabulary.made(counts, draw.random((60, 8)))
-    return draw, words
+    firsts, follows, lasts = draw.integers(0, 50, size + 1), draw.integers(0, 50, size + 1), draw.integers(0, 50, size)
+    pairs = draw.integers(0, 3, (size, size + 1)) * 4
+    return attention.Vocabulary.made(
+        firsts, follows, np.concatenate([pairs, pairs.sum(axis=1, keepdims=True) + 5], axis=1), draw.random((60, 8)), lasts
+    ), draw
+
+
+def stream_of(draw, sizes, words):
+    steps = [-(-(n + 1) // attention.STEP) for n in sizes]
+    total = sum(steps) * attention.STEP
+    head, tail = (draw.integers(0, 200, total).astype(np.int32) for _ in range(2))
+    wanted, begins, at = np.full(total, -1, np.int32), np.zeros(sum(steps), bool), 0
+    for n, k in zip(sizes, steps, strict=True):
+        wanted[at : at + n + 1] = draw.integers(0, attention.CLASSES, n + 1)
+        begins[at // attention.STEP] = True
+        at += k * attention.STEP
+    return attention.Stream(head, tail, wanted, begins)
+
+
+def test_scoring_equals_the_forward_pass_and_short_blocks():
+    words, draw = small(4)
+    p, s = attention.fresh(), None
+    p["place"] += draw.normal(0, 1, p["place"].shape).astype(np.float32)
+    s = stream_of(draw, [0, 3, 7, 8, 40, 25], words)
+    f = attention.forward(p, *s.windows(np.arange(len(s.begins))))
+    z = f["z"] - np.log(f["e"].sum(axis=1, keepdims=True))
+    want = np.where(s.wanted >= 0, z[np.arange(len(z)), s.wanted], 0) * np.log10(np.e)
+    for steps in (1024, 1, 3):
+        assert attention.Scorer(p).log10(s, steps) == pytest.approx(want, abs=1e-4)
 
 
 def test_probabilities_sum_to_one():
-    draw, words = small()
-    groups = np.bincount(words.group[:-1], weights=10.0 ** words.inner[:-1].astype(float), minlength=attention.CLASSES)
-    used = np.unique(words.group[:-1])
-    assert groups[used] == pytest.approx(1, abs=1e-4)
-    rows = draw.integers(0, attention.OWN, (3, attention.WINDOW))
-    got = attention.forward(attention.fresh(), rows, attention._owner_mask(np.zeros((3, attention.WINDOW), int)))
-    assert (got["e"] / got["sum"][:, None]).sum(axis=1) == pytest.approx(1, abs=1e-5)
-
-
-def test_later_ids_and_other_texts_change_nothing_before():
-    draw, words = small()
-    p = attention.fresh()
-    stream = np.concatenate([[101], draw.integers(0, 100, 60), [100] * 3])
-    text = np.zeros(len(stream), int)
-    base = attention.log10_steps(p, words, stream, text)
-    changed = stream.copy()
-    changed[40] = (changed[40] + 1) % 100
-    again = attention.log10_steps(p, words, changed, text)
-    assert base[:39] == pytest.approx(again[:39], abs=1e-6)
-    two = attention.log10_steps(p, words, np.concatenate([changed, stream]), np.concatenate([text, text + 1]))
-    assert two[len(stream) :].sum() == pytest.approx(base.sum(), rel=1e-5)
-
-
-def test_long_streams_score_as_short_blocks(monkeypatch):
-    draw, words = small(3)
-    stream = np.concatenate([[101], draw.integers(0, 100, 500), [100]])
-    text = np.zeros(len(stream), int)
-    p = attention.fresh()
-    whole = attention.log10_steps(p, words, stream, text)
-    monkeypatch.setattr(attention, "_HALF_BLOCK", 4)
-    assert attention.log10_steps(p, words, stream, text) == pytest.approx(whole, abs=1e-5)
+    words, draw = small()
+    share = np.bincount(words.group, weights=10.0 ** words.inner.astype(float), minlength=attention.CLASSES)
+    assert share[np.unique(words.group)] == pytest.approx(1, abs=1e-4)
+    # a word of one id before each id or the word's end: all that can follow it
+    for one in (0, 17, 99):
+        ends = words.tails(np.array([one]), np.array([1]))[0]
+        pairs = words.tails(np.array([[one, i] for i in range(100)]).ravel(), np.full(100, 2))
+        last = words.tails(np.arange(100), np.ones(100, int))
+        assert 10**ends + (10.0 ** (pairs - last)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_classes_sum_to_one():
+    words, draw = small()
+    s = stream_of(draw, [30, 5], words)
+    total = np.zeros(len(s.wanted))
+    for c in range(attention.CLASSES):
+        s.wanted[:] = c
+        total += 10.0 ** attention.Scorer(attention.fresh()).log10(s).astype(float)
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_later_words_and_other_texts_change_nothing_before():
+    words, draw = small()
+    scorer = attention.Scorer(attention.fresh())
+    s = stream_of(draw, [60, 20], words)
+    base = scorer.log10(s)
+    other = attention.Stream(s.head.copy(), s.tail.copy(), s.wanted, s.begins)
+    other.head[40], other.tail[40] = 3, 4
+    again = scorer.log10(other)
+    assert base[:40] == pytest.approx(again[:40], abs=1e-6) and base[64:] == pytest.approx(again[64:], abs=1e-6)
+    assert np.abs(base[40:48] - again[40:48]).max() > 1e-4
 
 
 def test_gradients_match_differences():
-    draw, words = small(1)
+    words, draw = small(1)
     p = {k: v.astype(np.float64) for k, v in attention.fresh().items()}
-    rows = draw.integers(0, 5, (2, attention.WINDOW))
-    own = np.repeat(np.array([[0] * 6 + [1] * 10]), 2, axis=0)
-    mask = attention._owner_mask(own)
-    wanted, weight = draw.integers(0, attention.CLASSES, 16), np.ones(16)
-    weight[3] = 0
-    _, g = attention.gradients(p, rows, mask, wanted, weight)
+    s = stream_of(draw, [20, 4], words)
+    steps = np.arange(len(s.begins))
+    head, tail, first = s.windows(steps)
+    _, g = attention.gradients(p, head, tail, first, s.wanted)
     for name in p:
-        at = (int(rows[0, 9]), 2) if name == "embed" else tuple(s // 2 for s in p[name].shape)
+        at = (int(head[1, 9]), 2) if name == "head" else (int(tail[1, 9]), 2) if name == "tail" else tuple(n // 2 for n in p[name].shape)
         up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
         up[name][at] += 1e-4
         down[name][at] -= 1e-4
-        slope = (attention.gradients(up, rows, mask, wanted, weight)[0] - attention.gradients(down, rows, mask, wanted, weight)[0]) / 2e-4
+        slope = (attention.gradients(up, head, tail, first, s.wanted)[0] - attention.gradients(down, head, tail, first, s.wanted)[0]) / 2e-4
         assert g[name][at] == pytest.approx(slope, rel=2e-2, abs=2e-5), name
 
 
 def test_training_lowers_the_loss():
-    draw, words = small(2)
-    stream = np.concatenate([[101], np.tile(np.arange(20), 60), [100]])
-    text = np.zeros(len(stream), int)
-    p = attention.fresh()
-    before = attention.log10_steps(p, words, stream, text).sum()
-    for _ in range(6):
-        p, n = attention.train(p, words, stream, text, np.arange(-(-len(stream) // attention.STEP)), 5e-3, batch=16)
-    assert attention.log10_steps(p, words, stream, text).sum() > before + 100
+    words, draw = small(2)
+    s = stream_of(draw, [400], words)
+    s.head[:] = np.arange(len(s.head)) % 20
+    s.tail[:] = s.head
+    s.wanted[:401] = (np.arange(401) + 1) % 20
+    before = attention.Scorer(attention.fresh()).log10(s).sum()
+    learner = attention.Learner(attention.fresh(), 5e-3)
+    for _ in range(30):
+        learner.learn(s, batch=16)
+    assert learner.places == 30 * 401 and attention.Scorer(learner.p).log10(s).sum() > before + 100
 
 
 def plain_base(rows):
@@ -160,9 +178,40 @@ def test_scores_without_anything_to_learn_from(spark, nothing):
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
 
 
+def test_every_learning_text_trains_and_blocks_do_not_change_the_base(spark, edges, monkeypatch):
+    from kinescape.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", 3)
+    got = score(edges.repartition(2), crc_mod(F.col("doc_id"), 7) != 2, RANKS, P.PATTERN).collect()
+    assert sorted(((r.key, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == plain_base(EDGES)
+
+
+def bigram(taught, held):
+    """log10 of texts by pairs of subword ids, discounted towards single ids: a plain reference."""
+    codes = encoder(RANKS, P.PATTERN)
+    spelled = lambda t: " ".join(["", *(w.decode() for w in words_of(t))])
+    ids = lambda texts: [[codes.size, *x.tolist(), codes.size] for x in np.split(*(lambda i, n: (i, np.cumsum(n)[:-1]))(*codes.encode([*map(spelled, texts)])))]
+    one, two, many = collections.Counter(), collections.Counter(), collections.Counter()
+    for x in ids(taught):
+        one.update(x[1:])
+        two.update(zip(x[:-1], x[1:], strict=True))
+    before = collections.Counter()
+    for (a, _), n in two.items():
+        before[a] += n
+        many[a] += 1
+    n = sum(one.values()) + codes.size + 1
+    total = 0.0
+    for x in ids(held):
+        for a, b in zip(x[:-1], x[1:], strict=True):
+            own = (one[b] + 1) / n
+            total += math.log10((max(two[a, b] - 0.75, 0) + 0.75 * many[a] * own) / before[a] if before[a] else own)
+    return total
+
+
 @needs_data
-def test_model_beats_an_untrained_one(spark):
-    docs = spark.read.parquet(DOCS)
-    got = score(docs, crc_mod(F.col("doc_id"), 7) != 2, RANKS, P.PATTERN).toPandas()
-    again = score(docs, F.lit(False), RANKS, P.PATTERN).toPandas()
-    assert got.score.sum() > 0.8 * again.score.sum()
+def test_model_beats_a_smoothed_bigram_on_held_out_texts(spark):
+    docs = spark.read.parquet(DOCS.replace("0.001", "0.01"))
+    got = score(docs, crc_mod(F.col("doc_id"), 7) != 2, RANKS, P.PATTERN)
+    told = docs.join(got, docs.doc_id == got.key).withColumn("held", crc_mod(F.col("doc_id"), 7) == 2).toPandas()
+    assert told[told.held].score.sum() > bigram(told[~told.held].text, told[told.held].text)
