@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinescape.llm.common import _arrow_schema, arrow_rows, components, slices, stored
-from kinescape.llm.words import shingles
+from kinescape.llm.common import _arrow_schema, arrow_rows, components, dropped, mapped, slices, stored
+from kinescape.llm.words import mixed, shingle_sets
 
 #: Minima of a signature, bands and their rows, and low bits kept of each minimum.
 MINIMA, BANDS, ROWS, BITS = 256, 32, 6, 4
@@ -22,25 +22,35 @@ BLOCK = 512
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240229)
-    a = draw.integers(0, 1 << 63, MINIMA, np.uint64) << np.uint64(1) | np.uint64(1)
-    return a[:, None], draw.integers(0, 1 << 63, MINIMA, np.uint64)[:, None]
+#: Terms of the multipliers of the 32-bit hash functions and of band hashes.
+_draw = np.random.default_rng(20240229)
+_TIMES, _PLUS = (_draw.integers(0, 1 << 32, (MINIMA, 1), np.uint32) | np.uint32(1), _draw.integers(0, 1 << 32, (MINIMA, 1), np.uint32))
+_ROW = _draw.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def minima(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def minima(items: np.ndarray) -> np.ndarray:
     """The least value of each hash function over ``items``, in blocks of bounded memory."""
-    low = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 4096):
-        np.minimum(low, (items[None, at : at + 4096] * a + b).min(axis=1), out=low)
+    low = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
+    short = (items ^ (items >> np.uint64(32))).astype(np.uint32)[None, :]
+    for at in range(0, len(items), 2048):
+        values = short[:, at : at + 2048] * _TIMES
+        values += _PLUS
+        np.minimum(low, values.min(axis=1), out=low)
     return low
 
 
-def packed(low: np.ndarray) -> bytes:
-    """The low bits of the upper half of each minimum, 16 minima in a 64-bit word."""
-    kept = (low >> np.uint64(32)) & np.uint64((1 << BITS) - 1)
-    places = (np.arange(16, dtype=np.uint64) * np.uint64(BITS))[None, :]
-    return np.bitwise_or.reduce(kept.reshape(-1, 16) << places, axis=1).astype("<u8").tobytes()
+def packed(low: np.ndarray) -> np.ndarray:
+    """Low bits of each minimum (rows of minima), after a mixing that all its bits enter; 16 a 64-bit word."""
+    x = (low ^ (low >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    kept = (x & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(low), -1, 16)
+    return np.bitwise_or.reduce(kept << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=2)
+
+
+def band_hashes(low: np.ndarray) -> np.ndarray:
+    """One hash for the rows of each band, of full minima (rows of minima)."""
+    parts = mixed(low[:, : BANDS * ROWS].astype(np.uint64).reshape(len(low), BANDS, ROWS))
+    return mixed((parts * _ROW).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -57,27 +67,19 @@ def sketch(df: DataFrame, width: int, key: str = "doc_id", text: str = "text") -
     """doc_id, n_shingles, set_id (digest of the whole set, null if empty), sig and band hashes."""
 
     def work(batch):
-        a, b = _functions()
         for part in slices(batch):
-            counts, ids, sigs, bands = [], [], [], []
-            for s in part.column(1).to_pylist():
-                items = shingles(s, width)
-                counts.append(len(items))
-                if not len(items):
-                    ids.append(None)
-                    sigs.append(None)
-                    bands.append([])
-                    continue
-                low = minima(items, a, b)
-                ids.append(xxhash.xxh128_digest(items.tobytes()))
-                sigs.append(packed(low))
-                bands.append(
-                    [
-                        xxhash.xxh64_intdigest(low[i : i + ROWS].tobytes(), seed=i) - (1 << 63)
-                        for i in range(0, BANDS * ROWS, ROWS)
-                    ]
-                )
-            yield {"doc_id": part.column(0), "n_shingles": counts, "set_id": ids, "sig": sigs, "bands": bands}
+            sets = list(shingle_sets(part.column(1).to_pylist(), width))
+            known = np.array([len(x) > 0 for x in sets])
+            low = np.stack([minima(x) for x in sets])
+            sigs, bands = packed(low), band_hashes(low)
+            told = [xxhash.xxh128_digest(x.tobytes()) if len(x) else None for x in sets]
+            yield {
+                "doc_id": part.column(0), "n_shingles": [*map(len, sets)], "set_id": told,
+                "sig": [x.tobytes() if k else None for x, k in zip(sigs, known, strict=True)],
+                "bands": pa.ListArray.from_arrays(
+                    np.concatenate([[0], np.cumsum(known * BANDS)]).astype(np.int32), pa.array(bands[known].ravel())
+                ),
+            }
 
     return arrow_rows(
         df.select(F.col(key).cast("long").alias("doc_id"), text),
@@ -144,7 +146,7 @@ def _candidates(members: DataFrame, cut: float, threshold: int, spread: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=target)
 
     dealt = members.repartition("slot").sortWithinPartitions("slot", "side", "class_id")
-    return dealt.mapInArrow(run, schema).where("a <> b").distinct()
+    return mapped(dealt, run, schema).where("a <> b").distinct()
 
 
 def _shared(p: np.ndarray, q: np.ndarray) -> int:
@@ -212,7 +214,7 @@ def _joined(pairs: DataFrame, labelled: DataFrame, cut: float, threshold: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=target)
 
     dealt = both.repartition("slot").sortWithinPartitions("slot", "side", "class_id")
-    return dealt.mapInArrow(run, schema).distinct()
+    return mapped(dealt, run, schema).distinct()
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -240,7 +242,7 @@ def _set_rows(df: DataFrame, width: int) -> DataFrame:
         for part in slices(batch):
             yield {
                 "doc_id": part.column(0),
-                "items": [shingles(s, width).astype("<u8").tobytes() for s in part.column(1).to_pylist()],
+                "items": [x.astype("<u8").tobytes() for x in shingle_sets(part.column(1).to_pylist(), width)],
             }
 
     return arrow_rows(df, "doc_id long, items binary", work)
@@ -255,8 +257,9 @@ def near_duplicates(
     ``width``-word shingles (words of A-Z in lower case between blanks and characters 9 to 13;
     fewer words: the whole sequence as one shingle). component_id is the least doc_id that
     links reach; kept says doc_id = component_id. A null, empty or wordless text has no
-    shingles and links with nothing; rows of one doc_id are one node; a null doc_id links with
-    nothing, has a null component and is kept. Other columns are not read.
+    shingles and links with nothing; a null doc_id links with nothing, has a null component and
+    is kept. Rows of one doc_id are one node; of different texts that have the same least
+    doc_id, only that with the least digest seeks links. Other columns are not read.
 
     Equal sets become one class by their digest before anything else. 256 minima are kept as
     4 bits each; 32 bands of 6 full minima make buckets (a pair at 0.8 meets with probability
@@ -270,8 +273,17 @@ def near_duplicates(
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(sketch(docs, width, "doc_id", "text"))
     known = rows.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
-    unique = classes.join(known.withColumnRenamed("set_id", "own"), (F.col("doc_id") == F.col("class_id")) & (F.col("own") == F.col("set_id")))
+    # equal sets have equal signatures, so any row of a class tells them
+    unique = stored(
+        known.groupBy("set_id").agg(
+            F.min("doc_id").alias("class_id"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands"))
+        )
+    )
+    classes = unique.select("set_id", "class_id")
+    twice = unique.groupBy("class_id").agg(F.count("*").alias("sets"), F.min("set_id").alias("least")).where("sets > 1")
+    if not twice.isEmpty():
+        later = unique.join(twice, "class_id").where("set_id <> least").select("set_id")
+        unique = unique.join(later, "set_id", "left_anti")
     posted = unique.select("class_id", F.explode("bands").alias("bucket"))
     buckets = (
         posted.groupBy("bucket")
@@ -284,7 +296,7 @@ def near_duplicates(
     )
     members = stored(
         posted.join(buckets, "bucket")
-        .join(unique.select("class_id", "n_shingles", "sig").dropDuplicates(["class_id"]), "class_id")
+        .join(unique.select("class_id", "n_shingles", "sig"), "class_id")
         .select("bucket", "n", "class_id", "n_shingles", "sig")
     )
     # the ids grow with the corpus: a merge join at every size, never a broadcast
@@ -299,23 +311,23 @@ def near_duplicates(
     near = members.select(
         F.xxhash64("bucket", block).alias("slot"), F.lit(2).alias("side"), "class_id", F.col("class_id").alias("label"), "n_shingles", "sig"
     )
-    first = _checked(stored(_candidates(near, cut, threshold, spread=False)), sets, threshold)
-    labels = stored(components(first))
+    likely = stored(_candidates(near, cut, threshold, spread=False))
+    labels = stored(components(_checked(likely, sets, threshold)))
     told = members.join(labels, members.class_id == labels.node, "left").withColumn("label", F.coalesce("component", "class_id"))
-    mixed = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest")
-    at = told.drop("node", "component").join(mixed.select("bucket"), "bucket").withColumn("own", block)
+    differ = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest")
+    at = told.drop("node", "component").join(differ.select("bucket"), "bucket").withColumn("own", block)
     # each member meets every block once: as the lower or the upper side of the pair
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     at = at.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     at = at.withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
     at = at.select(F.xxhash64("bucket", "i", "j").alias("slot"), "side", "class_id", "label", "n_shingles", "sig")
     pairs = stored(_candidates(at, cut, threshold, spread=True))
-    own = unique.select("class_id", "sig").dropDuplicates(["class_id"])
-    marked = sets.withColumnRenamed("doc_id", "class_id").join(own, "class_id").join(labels, F.col("class_id") == labels.node, "left")
+    marked = sets.withColumnRenamed("doc_id", "class_id").join(unique.select("class_id", "sig"), "class_id").join(labels, F.col("class_id") == labels.node, "left")
     marked = marked.select("class_id", F.coalesce("component", "class_id").alias("label"), "items", "sig")
     wanted = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
     labelled = stored(marked.join(wanted, "label", "left_semi"))
     last = components(_joined(pairs, labelled, cut, threshold)).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    dropped(members, sets, likely, pairs, labelled)
     out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     out = out.join(labels, out.class_id == labels.node, "left")
     out = out.withColumn("component", F.coalesce("component", "class_id")).join(last, "component", "left")

@@ -1,28 +1,81 @@
-"""Words and word shingles of texts as 64-bit hashes."""
+"""Words of batches of texts as 64-bit hashes, without a Python step for each word."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
-#: Odd multipliers of the shingle hash.
-_MIX, _SEED = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03
-_SHIFT = np.uint64(29)
+#: Odd multipliers of the hashes of runs.
+MIX, BASE = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
+#: Words of more bytes are hashed alone; bytes of texts taken at once.
+LONG, SEGMENT = 1024, 1 << 21
+
+_draw = np.random.default_rng(20250301)
+_PLACES = [_draw.integers(0, 1 << 63, LONG, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_BYTES = [_draw.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + _draw.integers(0, 2, 256, np.uint64) for _ in range(2)]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256)
+_LOWER[0x41:0x5B] += 0x20
+LOWER_BYTES = bytes(_LOWER.astype(np.uint8))
+
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    return x ^ (x >> np.uint64(29))
 
-class _Hashes(dict):
-    """xxh64 of words seen; starts afresh when full."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 32:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = value
-        return value
+def spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last byte of each word: runs without blanks and the characters 9 to 13."""
+    blank = np.ones(len(buffer) + 2, bool)
+    np.take(_BLANK, buffer, out=blank[1:-1])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
 
 
-_seen = _Hashes()
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, which: int = 0) -> np.ndarray:
+    """Hash of the bytes of each span: sums over its bytes of a number for the byte times one for its place.
+
+    With ``lower`` A-Z count as a-z. ``which`` picks one of two independent hashes.
+    """
+    sizes = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    table = _BYTES[which][_LOWER] if lower else _BYTES[which]
+    far = sizes > LONG
+    near = np.flatnonzero(~far) if far.any() else np.arange(len(starts))
+    at = 0
+    bounds = np.searchsorted(np.cumsum(sizes[near]), np.arange(SEGMENT, int(sizes[near].sum()) + SEGMENT, SEGMENT))
+    for stop in [*np.unique(np.minimum(bounds + 1, len(near))).tolist()]:
+        own = near[at:stop]
+        at = stop
+        if not len(own):
+            continue
+        n = sizes[own]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), n)
+        whole = int(ends[own[-1]] - starts[own[0]]) == int(n.sum())
+        raw = buffer[starts[own[0]] : ends[own[-1]]] if whole else buffer[place + np.repeat(starts[own], n)]
+        out[own] = np.add.reduceat(table[raw] * _PLACES[which][place], first)
+    for i in np.flatnonzero(far):
+        raw = buffer[starts[i] : ends[i]].tobytes()
+        out[i] = xxhash.xxh64_intdigest(raw.translate(LOWER_BYTES) if lower else raw, seed=which)
+    return mixed(out + sizes.astype(np.uint64) * np.uint64(BASE))
+
+
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of the texts, a blank after each, and where each text ends (with its blank)."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return np.frombuffer(b"".join([x for r in raw for x in (r, b" ")]), np.uint8), ends
+
+
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after the other, and where each text's words end."""
+    buffer, ends = joined(texts)
+    starts, stops = spans(buffer)
+    return span_hashes(buffer, starts, stops, lower), np.searchsorted(starts, ends)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -30,22 +83,41 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
+def groups(texts: list[str | None], most: int = SEGMENT) -> Iterator[list[str | None]]:
+    """The texts in groups of about ``most`` characters, a text at least."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text)
+        held += len(text or "")
+        if held >= most:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``width`` words.
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its runs of ``width`` words.
 
     A text of fewer words has one shingle, the whole sequence; one without words has none.
     """
-    h = word_hashes(text)
-    if not len(h):
-        return h
-    n = min(width, len(h))
-    out = np.full(len(h) - n + 1, _SEED * n % (1 << 64), np.uint64)
+    for some in groups(texts):
+        h, ends = word_hashes(some)
+        runs = _runs_of(h, width) if len(h) >= width else h[:0]
+        lo = 0
+        for hi in ends.tolist():
+            if hi - lo >= width:
+                yield np.unique(runs[lo : hi - width + 1])
+            elif hi > lo:
+                yield _runs_of(h[lo:hi], hi - lo)
+            else:
+                yield h[:0]
+            lo = hi
+
+
+def _runs_of(h: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(h) - n + 1, np.uint64(BASE * n % (1 << 64)))
     for j in range(n):
-        out = (out ^ h[j : len(h) - n + 1 + j]) * _MIX
-        out ^= out >> _SHIFT
-    return np.unique(out)
+        out = (out ^ h[j : len(h) - n + 1 + j]) * MIX
+        out ^= out >> np.uint64(29)
+    return out
