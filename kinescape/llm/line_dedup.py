@@ -5,82 +5,84 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinescape.llm.common import arrow_rows, slices, stored
+from kinescape.llm.words import BASE, groups, mixed, word_hashes
 
 _LAST = (1 << 63) - 1
-_WORD = re.compile(r"\S+")
-_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=8)
-        if len(word) <= 32:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_seen = _Hashes()
-#: Powers of the base and of its inverse modulo 2^64, as many as the longest text so far had words.
+_WORD = re.compile("[^ \t-\r]+")
+#: Windows whose least gram is looked for at once, and bits of a place among them.
+_SPAN, _BITS = 1 << 22, np.uint64(23)
+#: Powers of the base and of its inverse modulo 2^64, as many as the longest group of texts so far had words.
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _grown(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << n.bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             _powers[i] = np.multiply.accumulate(steps)
     return _powers
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
 class Words:
-    """Hashes of runs of a text's words, from sums over its beginnings."""
+    """Hashes of runs of words of texts that follow each other, from sums over all beginnings."""
 
-    def __init__(self, text: str | None):
-        words = (text or "").split()
-        self.n = len(words)
-        up, self.down = _grown(self.n + 1)
-        own = np.fromiter(map(_seen.__getitem__, words), np.uint64, self.n)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(own * up[: self.n], out=self.sums[1:])
+    def __init__(self, texts: list[str | None]):
+        own, self.ends = word_hashes(texts, lower=False)
+        up, self.down = _grown(len(own) + 1)
+        self.sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * up[: len(own)], out=self.sums[1:])
 
     def runs(self, starts: np.ndarray, sizes) -> np.ndarray:
         """Hash of the ``sizes`` words from each of ``starts``."""
-        return _mixed((self.sums[starts + sizes] - self.sums[starts]) * self.down[starts])
+        return mixed((self.sums[starts + sizes] - self.sums[starts]) * self.down[starts])
+
+
+def _least(values: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each ``wide`` neighbours."""
+    now, n = values, 1
+    while 2 * n <= wide:
+        now, n = np.minimum(now[:-n], now[n:]), 2 * n
+    return now if n == wide else np.minimum(now[: len(values) - wide + 1], now[wide - n :])
 
 
-def windows(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, context, first window and number of windows of each chosen gram.
+def windows(words: Words, least: int) -> tuple[np.ndarray, ...]:
+    """Text, fingerprint, context, first window and number of windows of each chosen gram.
 
     Each window of ``least`` words chooses the first least of its grams of half as many words.
     The choice depends on the window's words alone, so equal windows have equal fingerprints.
     The context is a hash of all words of the windows that chose the gram, and of its place.
     """
     wide = (least + 1) // 2
-    total = words.n - least + 1
-    if total < 1:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
-    grams = words.runs(np.arange(words.n - wide + 1), wide)
-    chosen = np.arange(total) + np.lib.stride_tricks.sliding_window_view(grams, least - wide + 1).argmin(axis=1)
-    first = np.flatnonzero(np.diff(chosen, prepend=-1))
-    number = np.diff(first, append=total)
-    at = chosen[first]
-    context = words.runs(first, number - 1 + least)
-    context = _mixed(context + (number * 65_537 + (at - first)).astype(np.uint64) * np.uint64(_BASE))
-    return grams[at].view(np.int64), context.view(np.int64), first.astype(np.int32), number.astype(np.int32)
+    begins = np.concatenate([[0], words.ends[:-1]]).astype(np.int64)
+    counts = np.maximum(words.ends - begins - least + 1, 0)
+    if not counts.sum():
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32))
+    text = np.repeat(np.arange(len(counts)), counts)
+    start = np.arange(len(text)) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    total = len(words.sums) - 1
+    grams = words.runs(np.arange(total - wide + 1), wide)
+    chosen = np.empty(total - least + 1, np.int64)
+    for at in range(0, len(chosen), _SPAN):
+        own = grams[at : at + _SPAN + least - wide]
+        keys = ((own >> _BITS) << _BITS) | np.arange(len(own), dtype=np.uint64)
+        found = _least(keys, least - wide + 1) & np.uint64((1 << int(_BITS)) - 1)
+        chosen[at : at + len(found)] = found.view(np.int64) + at
+    chosen = chosen[start]
+    first = np.flatnonzero((np.diff(chosen, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    number = np.diff(first, append=len(chosen))
+    at, own = chosen[first], start[first]
+    context = words.runs(own, number - 1 + least)
+    context = mixed(context + (number * 65_537 + (at - own)).astype(np.uint64) * np.uint64(BASE))
+    return (
+        text[first], grams[at].view(np.int64), context.view(np.int64), (own - begins[text[first]]).astype(np.int32),
+        number.astype(np.int32),
+    )
 
 
 def repeated_windows(df: DataFrame, least_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,12 +97,12 @@ def repeated_windows(df: DataFrame, least_words: int = 50, key: str = "doc_id",
     rows = df.select(_order(key).alias("k"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def cut(batch):
-        for part in slices(batch):
-            k, mark = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            found = [windows(Words(s), least_words) for s in part.column(2).to_pylist()]
-            sizes = [len(x[0]) for x in found]
-            h, c, a, n = (np.concatenate([x[i] for x in found]) for i in range(4))
-            yield {"k": np.repeat(k, sizes), "mark": np.repeat(mark, sizes), "h": h, "c": c, "a": a, "n": n}
+        k, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        at = 0
+        for texts in groups(batch.column(2).to_pylist()):
+            text, h, c, a, n = windows(Words(texts), least_words)
+            yield {"k": k[at + text], "mark": mark[at + text], "h": h, "c": c, "a": a, "n": n}
+            at += len(texts)
 
     posted = stored(arrow_rows(rows, "k long, mark long, h long, c long, a int, n int", cut))
     often = posted.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
@@ -115,25 +117,26 @@ def repeated_windows(df: DataFrame, least_words: int = 50, key: str = "doc_id",
     )
     several = contexts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     asked = (
-        contexts.join(several, "h", "left_semi").select("first.*", "n")
-        .groupBy("k", "mark").agg(F.collect_list(F.struct("a", "n")).alias("asked"))
+        contexts.join(several, "h", "left_semi").select("first.*", "n", "h")
+        .groupBy("k", "mark").agg(F.collect_list(F.struct("a", "n", "h")).alias("asked"))
     )
 
     def spell(batch):
         for part in slices(batch):
-            out = [[], [], [], []]
+            out = [[] for _ in range(5)]
             for k, mark, s, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 starts = np.concatenate([np.arange(x["a"], x["a"] + x["n"]) for x in asked])
-                own = (np.full(len(starts), k), np.full(len(starts), mark), Words(s).runs(starts, least_words).view(np.int64), starts)
-                for column, values in zip(out, own, strict=True):
+                grams = np.repeat([x["h"] for x in asked], [x["n"] for x in asked])
+                spelled = Words([s]).runs(starts, least_words).view(np.int64)
+                for column, values in zip(out, (np.full(len(starts), k), np.full(len(starts), mark), grams, spelled, starts), strict=True):
                     column.append(values)
-            yield dict(zip(("k", "mark", "w", "a"), map(np.concatenate, out), strict=True))
+            yield dict(zip(("k", "mark", "h", "w", "a"), map(np.concatenate, out), strict=True))
 
     texts = rows.join(asked, ["k", "mark"]).select("k", "mark", "text", "asked")
-    spelled = stored(arrow_rows(texts, "k long, mark long, w long, a int", spell))
-    firsts = spelled.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    spelled = stored(arrow_rows(texts, "k long, mark long, h long, w long, a int", spell))
+    firsts = spelled.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     single = (
-        spelled.join(firsts.select("w", "first"), "w").where(place > F.col("first"))
+        spelled.join(firsts.select("h", "w", "first"), ["h", "w"]).where(place > F.col("first"))
         .select("k", "mark", "a", F.lit(1).alias("n"))
     )
     return whole.union(single).groupBy("k", "mark").agg(F.collect_set(F.struct("a", "n")).alias("runs"))
@@ -187,8 +190,8 @@ def drop_repeated(df: DataFrame, least_words: int = 50, key: str = "doc_id", tex
     Every run of at least ``least_words`` words that stands earlier (by ``key``, then place;
     also in the same text) is deleted, wherever in a line it begins or ends; its first
     occurrence stays, and so does every word outside such runs. Of words that repeat with a
-    period, so that a run overlaps its earlier occurrence, one period stays. Words are parted by white
-    space, line ends among it. Lines left without words go and are counted in n_dropped, with
+    period, so that a run overlaps its earlier occurrence, one period stays. Words are parted by blanks
+    and the characters 9 to 13, line ends among them. Lines left without words go and are counted in n_dropped, with
     empty lines inside a run. A null text stays null with no
     lines; rows equal in key and text are one text and all keep what it keeps. Rows of a null
     key come after all others. Columns named n_lines or n_dropped are replaced.
