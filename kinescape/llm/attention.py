@@ -22,7 +22,7 @@ PAIRED, LEADERS = 2048, 256
 #: Share of each seen pair's count that goes to the ids' own frequency.
 DISCOUNT = 0.75
 _HALF, _SCALE = WIDTH // 2, np.float32(WIDTH**-0.5)
-_MASKED = np.float32(-1e9)
+_MASKED, _MOST = np.float32(-1e9), np.float32(40)
 _BACK = np.arange(WINDOW - STEP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _NEAR = np.clip(_BACK, 0, WINDOW - 1)
 #: Places a scored place may not see: what comes after it; in a text's first window also all before.
@@ -159,15 +159,21 @@ class Stream:
 
 def _attended(q, k, v, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s += place[0][_NEAR] + _AHEAD
+    s += place[0][_NEAR]
+    np.clip(s, -_MOST, _MOST, out=s)  # in place of taking off the greatest
+    s += _AHEAD
     if first.any():
         s[first] += _FIRST
-    s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s /= _sums(s)
     return s, np.matmul(s, v)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept, as a product with ones."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(*x.shape[:-1], 1)
+
+
 def forward(p: dict[str, np.ndarray], head: np.ndarray, tail: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """Batched masked attention of windows, and the classes' scores."""
     x = np.concatenate([p["head"][head], p["tail"][tail]], axis=2)
@@ -186,7 +192,7 @@ def forward(p: dict[str, np.ndarray], head: np.ndarray, tail: np.ndarray, first:
 def gradients(p, head, tail, first, wanted) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the places that want a class, and the gradient of every weight."""
     f = forward(p, head, tail, first)
-    sums = f["e"].sum(axis=1)
+    sums = _sums(f["e"])[:, 0]
     at = np.flatnonzero(wanted >= 0)
     n = max(len(at), 1)
     loss = -float((f["z"][at, wanted[at]] - np.log(sums[at])).sum()) / n
@@ -201,7 +207,7 @@ def gradients(p, head, tail, first, wanted) -> tuple[float, dict[str, np.ndarray
     dlast, dc = dj[:, :, :WIDTH], np.ascontiguousarray(dj[:, :, WIDTH:])
     dv = np.matmul(f["a"].transpose(0, 2, 1), dc).reshape(-1, WIDTH)
     da = np.matmul(dc, f["v"].transpose(0, 2, 1))
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
+    ds = f["a"] * (da - _sums(da * f["a"]))
     g["place"] = np.bincount(_NEAR.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)[None].astype(np.float32)
     dq = np.matmul(ds, f["k"]).reshape(-1, WIDTH) * _SCALE
     dk = np.matmul(ds.transpose(0, 2, 1), f["q"]).reshape(-1, WIDTH)
@@ -217,11 +223,12 @@ def gradients(p, head, tail, first, wanted) -> tuple[float, dict[str, np.ndarray
 
 
 class Learner:
-    """Adam over batches of windows."""
+    """Adam over batches of windows; the embeddings' steps go without momentum."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.one, self.two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.one = {k: np.zeros_like(v) for k, v in p.items() if k not in ("head", "tail")}
+        self.two = {k: np.zeros_like(v) for k, v in p.items()}
         self.rate, self.t, self.loss, self.places = rate, 0, 0.0, 0
 
     def learn(self, stream: Stream, batch: int = 256) -> None:
@@ -237,13 +244,19 @@ class Learner:
             pace = np.float32(self.rate / (1 - 0.9**self.t))
             least = np.float32(1 / (1 - 0.99**self.t))
             for k, d in g.items():
-                one, two = self.one[k], self.two[k]
-                one += np.float32(0.1) * (d - one)
+                two, one = self.two[k], d
+                if k in self.one:
+                    one = self.one[k]
+                    one += np.float32(0.1) * (d - one)
+                    one = one * pace
+                else:
+                    one = d * np.float32(self.rate)
                 d *= d
                 two += np.float32(0.01) * (d - two)
                 np.sqrt(two * least, out=d)
                 d += np.float32(1e-8)
-                self.p[k] -= pace * one / d
+                one /= d
+                self.p[k] -= one
 
 
 class Scorer:
@@ -275,7 +288,7 @@ class Scorer:
         np.tanh(h, out=h)
         z = h @ self.p["out"]
         z += self.p["level"]
-        return z, np.log(np.exp(z).sum(axis=1))
+        return z, np.log(_sums(np.exp(z))[:, 0])
 
     def log10(self, stream: Stream, steps: int = 1024) -> np.ndarray:
         """log10 probability of the class that each place wants; 0 where it wants none."""

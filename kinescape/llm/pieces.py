@@ -15,11 +15,14 @@ from itertools import compress
 
 import numpy as np
 import regex
+import tiktoken
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 #: White space before a blank: there a blank does not start a new match. ASCII part, rest.
 _SPACED = re.compile("[ \t\n\r\x0b\x0c\x1c-\x1f\x85] ").search
 _WIDE = regex.compile("[\u0085   -     　] ")
+#: White space that words may hold, and control characters.
+_ODD = regex.compile(r"[\s\x00-\x1f\x7f-\x9f]")
 #: Signs that are no letter, digit, blank or apostrophe, so that a match begins at them after letters.
 _SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Distinct pieces of one call of the library, and characters of texts encoded at once.
@@ -76,6 +79,7 @@ class PieceEncoder:
         # the character of each byte as UTF-16; 255 is in no text and becomes the blank
         self.codes = np.array([ord(c) for c in characters], "<u2")
         self.codes[255] = 0x20
+        self.ranks = None  # made when words are asked for
         self.size = max(strings) + 1
         self.widths = np.zeros(self.size, np.int64)
         for i, t in strings.items():
@@ -97,8 +101,30 @@ class PieceEncoder:
         return np.concatenate(all_ids), np.concatenate(all_sizes)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of distinct words, each with a blank before it."""
-        return self.chunks(words, False)
+        """The same of distinct words, each with a blank before it, through the library for ranks.
+
+        Words without white space cannot merge with their neighbours, so all go in one call; odd
+        and long ones go by way of their matches.
+        """
+        if self.ranks is None:
+            table = {self.raw[a : a + n].tobytes(): i for i, (a, n) in enumerate(zip(self.begins.tolist(), self.widths.tolist(), strict=True)) if n}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=self.split.pattern, mergeable_ranks=table, special_tokens={})
+        raw = [*map(str.encode, words)]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        odd = length > 200
+        if _ODD.search("".join(words)):
+            odd |= np.fromiter(map(bool, map(_ODD.search, words)), bool, len(words))
+        ids = np.array(self.ranks.encode_ordinary("".join([" " + w for w in compress(words, ~odd)])), np.int32)
+        sizes = np.zeros(len(words), np.int64)
+        cuts = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(length[~odd] + 1), side="right")
+        sizes[~odd] = np.diff(cuts, prepend=0)
+        if not odd.any():
+            return ids, sizes
+        more, sizes[odd] = self.chunks([*compress(words, odd)], False)
+        begins = np.empty(len(words), np.int64)
+        begins[~odd] = np.cumsum(sizes[~odd]) - sizes[~odd]
+        begins[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
+        return np.concatenate([ids, more])[ragged(begins, sizes)], sizes
 
     def chunks(self, chunks: list[str], marked: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The same of distinct words that follow a blank, or of whole matches ``marked`` with a NUL."""

@@ -7,19 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-#: Odd multipliers of the hashes of runs.
+#: Odd multipliers of the hashes.
 MIX, BASE = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
-#: Words of more bytes are hashed alone; bytes of texts taken at once.
+_SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+_TIMES = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xE7037ED1A0B428DB))
+#: Words of more bytes are hashed alone; characters of texts taken at once.
 LONG, SEGMENT = 1024, 1 << 21
 
-_draw = np.random.default_rng(20250301)
-_PLACES = [_draw.integers(0, 1 << 63, LONG, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-_BYTES = [_draw.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + _draw.integers(0, 2, 256, np.uint64) for _ in range(2)]
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
-_LOWER[0x41:0x5B] += 0x20
-LOWER_BYTES = bytes(_LOWER.astype(np.uint8))
+_BLANKS = bytes(b == 0x20 or 0x09 <= b <= 0x0D for b in range(256))
+LOWER_BYTES = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
+#: The low bytes of a 64-bit number that belong to a word of so many bytes.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,55 +25,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def joined(texts: list[str | None], lower: bool = True) -> tuple[bytes, np.ndarray]:
+    """The UTF-8 bytes of the texts, a blank after each, with ``lower`` in lower case A-Z, and where each text ends."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    whole = b" ".join([*raw, b""])
+    return whole.translate(LOWER_BYTES) if lower else whole, ends
+
+
+def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last byte of each word: runs without blanks and the characters 9 to 13."""
-    blank = np.ones(len(buffer) + 2, bool)
-    np.take(_BLANK, buffer, out=blank[1:-1])
+    blank = np.frombuffer(b"\1" + raw.translate(_BLANKS) + b"\1", bool)
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     return edges[::2], edges[1::2]
 
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, which: int = 0) -> np.ndarray:
-    """Hash of the bytes of each span: sums over its bytes of a number for the byte times one for its place.
+def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of the bytes of each span, eight bytes a step; ``which`` picks one of two independent ones.
 
-    With ``lower`` A-Z count as a-z. ``which`` picks one of two independent hashes.
+    Spans of one size up to eight bytes never collide.
     """
     sizes = ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    table = _BYTES[which][_LOWER] if lower else _BYTES[which]
-    far = sizes > LONG
-    near = np.flatnonzero(~far) if far.any() else np.arange(len(starts))
-    at = 0
-    bounds = np.searchsorted(np.cumsum(sizes[near]), np.arange(SEGMENT, int(sizes[near].sum()) + SEGMENT, SEGMENT))
-    for stop in [*np.unique(np.minimum(bounds + 1, len(near))).tolist()]:
-        own = near[at:stop]
-        at = stop
-        if not len(own):
-            continue
-        n = sizes[own]
-        first = np.cumsum(n) - n
-        place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), n)
-        whole = int(ends[own[-1]] - starts[own[0]]) == int(n.sum())
-        raw = buffer[starts[own[0]] : ends[own[-1]]] if whole else buffer[place + np.repeat(starts[own], n)]
-        out[own] = np.add.reduceat(table[raw] * _PLACES[which][place], first)
-    for i in np.flatnonzero(far):
-        raw = buffer[starts[i] : ends[i]].tobytes()
-        out[i] = xxhash.xxh64_intdigest(raw.translate(LOWER_BYTES) if lower else raw, seed=which)
-    return mixed(out + sizes.astype(np.uint64) * np.uint64(BASE))
-
-
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of the texts, a blank after each, and where each text ends (with its blank)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    return np.frombuffer(b"".join([x for r in raw for x in (r, b" ")]), np.uint8), ends
+    padded = raw + b"\0" * 8
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    times, shift = _TIMES[which], np.uint64(32)
+    out = _SEEDS[which] + sizes.astype(np.uint64) * np.uint64(BASE)
+    out = (out ^ (eight[starts] & _KEPT[np.minimum(sizes, 8)])) * times
+    out ^= out >> shift
+    rest, at = np.flatnonzero((sizes > 8) & (sizes <= LONG)), 8
+    while len(rest):
+        left = sizes[rest] - at
+        more = (out[rest] ^ (eight[starts[rest] + at] & _KEPT[np.minimum(left, 8)])) * times
+        out[rest] = more ^ (more >> shift)
+        rest, at = rest[left > 8], at + 8
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]], seed=which)
+    return mixed(out)
 
 
 def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts one after the other, and where each text's words end."""
-    buffer, ends = joined(texts)
-    starts, stops = spans(buffer)
-    return span_hashes(buffer, starts, stops, lower), np.searchsorted(starts, ends)
+    raw, ends = joined(texts, lower)
+    starts, stops = spans(raw)
+    return span_hashes(raw, starts, stops), np.searchsorted(starts, ends)
 
 
 def words_of(text: str | None) -> list[bytes]:
