@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -46,8 +47,65 @@ _GNU = (
     "option) any later version."
 )
 
+_NO_FEE = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+)
+_ISC_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+    "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+_MIT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
 #: Wordings of licence notices and texts, by name.
 TEMPLATES = {
+    "0bsd": _NO_FEE + ". " + _ISC_WARRANTY,
+    "beerware": (
+        "wrote this file. As long as you retain this notice you can do whatever you want with this stuff. If we meet some "
+        "day, and you think this stuff is worth it, you can buy me a beer in return"
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, "
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+        "Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire "
+        "statement, including the above license grant, this restriction and the following disclaimer, must be included in all "
+        "copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or "
+        "derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
+    "mit-0": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so. " + _MIT_WARRANTY
+    ),
+    "postgresql": (
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, "
+        "and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and "
+        "the following two paragraphs appear in all copies."
+    ),
+    "wtfpl": "You just do what the fuck you want to",
+    "x11-notice": (
+        "shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without "
+        "prior written authorization"
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. If you use this software in a product, an acknowledgment in the product documentation would "
+        "be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+        "distribution."
+    ),
     "agpl-3.0": "licensed under the GNU Affero General Public License, version 3",
     "agpl-3.0-header": _GNU.format("This program", "Affero ", "3"),
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -86,13 +144,7 @@ TEMPLATES = {
     "gpl-3.0": "licensed under the GNU General Public License, version 3",
     "gpl-3.0-header": _GNU.format("This program", "", "3"),
     "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
-        "IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
-        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
-        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
-        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
-        "USE OR PERFORMANCE OF THIS SOFTWARE."
+        _NO_FEE + ", provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY
     ),
     "lgpl-2.1": "licensed under the GNU Lesser General Public License, version 2.1",
     "lgpl-2.1-header": _GNU.format("This library", "Lesser ", "2.1"),
@@ -102,11 +154,7 @@ TEMPLATES = {
     "mit-header": _MIT,
     "mit-text": (
         _MIT + ": The above copyright notice and this permission notice shall be included in all copies or substantial "
-        "portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
-        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
-        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
-        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
-        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+        "portions of the Software. " + _MIT_WARRANTY
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
@@ -115,7 +163,11 @@ TEMPLATES = {
     "unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
         "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
-        "for any purpose, commercial or non-commercial, and by any means."
+        "for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, "
+        "the author or authors of this software dedicate any and all copyright interest in the software to the public "
+        "domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and "
+        "future rights to this software under copyright law. " + _MIT_WARRANTY
     ),
 }
 
@@ -134,7 +186,9 @@ HELD = {
     },
     "bsd-3-clause": ("endorse or promote products",),
     "bsd-4-clause": ("advertising materials", "endorse or promote products"),
+    "isc": ("appear in all copies",),
     "mit": ("MIT License",),
+    "mit-text": ("included in all copies",),
     "mpl-2.0": ("Mozilla Public License", "2 0"),
 }
 
@@ -288,17 +342,19 @@ def scan_text(text: str | None, index: TemplateIndex, least: float, band: float)
             n, first, last = aligned(own, part, max(3, int(band * len(own))))
             if len(own) and n / len(own) >= least and last - first < 2 * len(own) and index.holds(t, part[first : last + 1]):
                 found.append((-n, lo + first, lo + last, t, n / len(own)))
-    taken: list[tuple] = []
-    for n, first, last, t, share in sorted(set(found)):
-        if all(last < x[1] or first > x[2] for x in taken):
-            taken.append((n, first, last, t, share))
+    taken: list[tuple] = []  # apart from each other, by place
+    for _, first, last, t, share in sorted(set(found)):
+        at = bisect.bisect(taken, (first,))
+        if (not at or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+            taken.insert(at, (first, last, t, share))
     if not taken:
         return []
     spans = [m.span() for m in _TOKEN.finditer(raw)]
-    point = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
+    # code points that begin before each byte
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
     return [
-        {"license": index.names[t], "start": point(spans[first][0]), "end": point(spans[last][1]), "coverage": share}
-        for _, first, last, t, share in sorted(taken, key=lambda x: x[1])
+        {"license": index.names[t], "start": int(points[spans[first][0]]), "end": int(points[spans[last][1]]), "coverage": share}
+        for first, last, t, share in taken
     ]
 
 
