@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinescape.llm.common import arrow_rows, slices, stored
+from kinescape.llm.common import arrow_rows, dropped, slices, stored
 from kinescape.llm.words import BASE, groups, mixed, word_hashes
 
 _LAST = (1 << 63) - 1
@@ -105,7 +105,8 @@ def repeated_windows(df: DataFrame, least_words: int = 50, key: str = "doc_id",
             at += len(texts)
 
     posted = stored(arrow_rows(rows, "k long, mark long, h long, c long, a int, n int", cut))
-    often = posted.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # written before they are joined, so that a gram of many places can be split over tasks
+    often = stored(posted.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"))
     again = stored(posted.join(often, "h", "left_semi"))
     place = F.struct("k", "mark", "a")
     contexts = stored(
@@ -115,7 +116,7 @@ def repeated_windows(df: DataFrame, least_words: int = 50, key: str = "doc_id",
         again.join(contexts.where("first < last").select("h", "c", "first"), ["h", "c"])
         .where(place > F.col("first")).select("k", "mark", "a", "n")
     )
-    several = contexts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    several = stored(contexts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"))
     asked = (
         contexts.join(several, "h", "left_semi").select("first.*", "n", "h")
         .groupBy("k", "mark").agg(F.collect_list(F.struct("a", "n", "h")).alias("asked"))
@@ -134,7 +135,8 @@ def repeated_windows(df: DataFrame, least_words: int = 50, key: str = "doc_id",
 
     texts = rows.join(asked, ["k", "mark"]).select("k", "mark", "text", "asked")
     spelled = stored(arrow_rows(texts, "k long, mark long, h long, w long, a int", spell))
-    firsts = spelled.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    dropped(posted, often, several)
+    firsts = stored(spelled.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last"))
     single = (
         spelled.join(firsts.select("h", "w", "first"), ["h", "w"]).where(place > F.col("first"))
         .select("k", "mark", "a", F.lit(1).alias("n"))
