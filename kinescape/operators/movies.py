@@ -95,11 +95,9 @@ def spot_frames(frames: DataFrame, settings: SpotSettings | None = None) -> Data
         for batch in batches:
             found = [segment.spots(_image(r), settings) for r in batch.itertuples()]
             yield batch.assign(
-                labels=[x.ravel().astype(np.int32) for x, _, _ in found],
-                centres=[[{"y": float(y), "x": float(x)} for y, x in c] for _, c, _ in found],
-                noise_response=[t["noise_response"] for _, _, t in found],
-                threshold=[t["threshold"] for _, _, t in found],
-                detections=[t["detections"] for _, _, t in found],
+                labels=[x.labels.ravel().astype(np.int32) for x in found],
+                centres=[[{"y": float(y), "x": float(x)} for y, x in f.centres] for f in found],
+                noise_response=[x.noise for x in found], threshold=[x.level for x in found], detections=[len(x.centres) for x in found],
             )[names]
 
     schema = (
@@ -242,7 +240,7 @@ def particles(frames: DataFrame, settings: ParticleSettings | None = None) -> di
     )
     raw = linking.link_particles(points, s.links)
     kept = motion.retained(raw, s.least_observations, "movie", "track_id")
-    walked = motion.steps(kept.withColumn("link_status", F.col("link_status")), ("movie", "track_id"), s.calibration)
+    walked = motion.steps(kept, ("movie", "track_id"), s.calibration)
     shapes = measure(found).withColumn("movie", name).withColumnsRenamed({"x": "mask_x", "y": "mask_y"})
     shapes = shapes.join(kept.select("movie", "frame", (F.col("ordinal") + 1).alias("label"), "x", "y", "track_id"), ["movie", "frame", "label"])
     return {

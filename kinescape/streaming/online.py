@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinescape.config import LinkSettings
-from kinescape.operators.linking import least_cost
+from kinescape.kernels.matching import Live, advance
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str | None = None, files: int = 1) -> DataFrame:
@@ -28,12 +29,26 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "2 days",
     return got.select(F.col("w.start").alias("start"), by, "n", "total")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new place in the folder that driver and executors share; in local sessions without one, a temporary one."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(told or tempfile.mkdtemp(prefix='kinescape-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream gives for all that is there now, as a table of the session's memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream gives for all that is there now, as a written table.
+
+    A batch that is run again replaces what it wrote. In complete mode the last batch stays.
+    """
+    folder = _folder(stream.sparkSession)
+    part = (lambda n: f"{folder}/rows") if mode == "complete" else (lambda n: f"{folder}/rows/batch={n}")
+    keep = lambda rows, n: rows.write.mode("overwrite").parquet(part(n))
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(part(-1))
+    run = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(f"{folder}/rows").select(stream.columns)
 
 
 _OUT = "movie string, frame int, track_id long, ordinal int, x double, y double, link_status string, link_distance double"
@@ -49,40 +64,22 @@ def link_online(points: DataFrame, settings: LinkSettings | None = None) -> Data
     s = settings or LinkSettings()
     if s.gap or s.prediction:
         raise ValueError("online linking has neither gaps nor prediction")
+    names = [c.split()[0] for c in _OUT.split(", ")]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches))
-        count, first, last, ids, past = 0, None, None, [], np.zeros((0, 2))
+        live, count, first, last = Live.none(), 0, int(rows.frame.min()), None
         if state.exists:
             count, first, last, ids, ys, xs = state.get
-            ids, past = list(ids), np.column_stack([ys, xs])
-        out = []
+            place = np.column_stack([ys, xs]).reshape(-1, 2)
+            live = Live(np.array(ids, np.int64), np.full(len(ids), last, np.int64), place, np.zeros(place.shape))
+        if last is not None and rows.frame.min() <= last:
+            raise ValueError(f"frame {rows.frame.min()} of {key[0]} came after frame {last}")
         for frame, now in rows.sort_values(["frame", "ordinal"]).groupby("frame"):
-            if last is not None and frame <= last:
-                raise ValueError(f"frame {frame} of {key[0]} came after frame {last}")
-            if last is not None and frame != last + 1:
-                ids, past = [], np.zeros((0, 2))
-            first = frame if first is None else first
-            here = now[["y", "x"]].to_numpy(float)
-            far = np.linalg.norm(past[:, None] - here[None], axis=2) if len(ids) else np.zeros((0, len(here)))
-            allowed = far <= s.gate
-            at = least_cost(far, allowed, s.gate) if len(ids) else np.zeros(0, int)
-            source = {int(j): i for i, j in enumerate(at) if j >= 0}
-            own = []
-            for j in range(len(here)):
-                if j in source:
-                    i = source[j]
-                    others = np.concatenate([np.delete(np.where(allowed[i], far[i], np.inf), j), np.delete(np.where(allowed[:, j], far[:, j], np.inf), i)])
-                    clear = (others.min(initial=np.inf) - far[i, j]) > s.margin
-                    own.append(ids[i])
-                    detail = ("matched" if clear else "ambiguous", float(far[i, j]))
-                else:
-                    own.append(count)
-                    count += 1
-                    detail = ("start" if frame == first else "birth_or_unmatched", None)
-                out.append((key[0], int(frame), int(own[-1]), int(now.ordinal.iloc[j]), here[j, 1], here[j, 0], *detail))
-            ids, past, last = own, here, int(frame)
-        state.update((int(count), int(first), int(last), [int(i) for i in ids], past[:, 0].tolist(), past[:, 1].tolist()))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+            live, told = advance(live, int(frame), now[["y", "x"]].to_numpy(float), s, count, frame == first)
+            count, last = max(count, int(told["track_id"].max()) + 1), int(frame)
+            yield now[["frame", "ordinal", "x", "y"]].assign(movie=key[0], **told)[names]
+        live = live.only(live.frame == last)
+        state.update((count, first, last, live.track.tolist(), live.place[:, 0].tolist(), live.place[:, 1].tolist()))
 
     return points.groupBy("movie").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

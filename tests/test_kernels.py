@@ -32,21 +32,21 @@ def spot_frame(frame):
 
 
 def test_two_spots_have_their_known_noise_and_centres():
-    labels, centres, told = segment.spots(spot_frame(0))
-    assert told["noise_response"] == pytest.approx(0.06992407834898115, abs=1e-12)
-    assert told["threshold"] == pytest.approx(0.20977223504694345, abs=1e-12) and told["detections"] == 2
-    assert centres[0] == pytest.approx([19.999999955152507] * 2, abs=1e-9)
-    assert [m["area"] for m in regions.measured(labels)] == [21, 21]
+    got = segment.spots(spot_frame(0))
+    assert got.noise == pytest.approx(0.06992407834898115, abs=1e-12)
+    assert got.level == pytest.approx(0.20977223504694345, abs=1e-12) and len(got.centres) == 2
+    assert got.centres[0] == pytest.approx([19.999999955152507] * 2, abs=1e-9)
+    assert [m["area"] for m in regions.measured(got.labels)] == [21, 21]
 
 
 def test_scaled_and_lifted_intensities_leave_spots_alone():
     image = spot_frame(1).astype(float)
     a, b = segment.spots(image), segment.spots(3 * image + 20)
-    assert (a[0] == b[0]).all() and np.allclose(a[1], b[1])
+    assert (a.labels == b.labels).all() and np.allclose(a.centres, b.centres)
 
 
 def test_flat_frames_have_no_objects():
-    assert segment.spots(np.full((32, 32), 100.0))[2]["detections"] == 0
+    assert len(segment.spots(np.full((32, 32), 100.0)).centres) == 0
     assert segment.mask(np.full((8, 8), 3.0), MaskSettings())[1] == 3.0
 
 

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from kinescape.config import Calibration, LinkSettings
+from kinescape.kernels import matching
 from kinescape.operators import linking, motion
 
 
@@ -81,22 +82,46 @@ def test_parallel_and_ordered_particle_linkers_agree(spark):
     assert list(a.track_id) == list(b.track_id) and list(a.link_status) == list(b.link_status)
 
 
-def test_solver_matches_all_permutations():
-    from itertools import permutations
+def least_total(cost, alone):
+    """The least cost of all one-to-one choices of a matrix with inf where there is no edge, by trying all."""
+    if not cost.shape[0]:
+        return alone * cost.shape[1]
+    best = alone + least_total(cost[1:], alone)
+    for j in range(cost.shape[1]):
+        if np.isfinite(cost[0, j]):
+            best = min(best, cost[0, j] + least_total(np.delete(cost[1:], j, axis=1), alone))
+    return best
 
+
+@pytest.mark.parametrize("alone", [0.1, 0.4, 5.0])
+def test_sparse_solver_matches_all_choices(alone):
     draw = np.random.default_rng(2)
-    for _ in range(40):
-        cost = draw.random((4, 5))
-        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(5), 4))
-        got = linking.solve(cost)
-        assert sum(cost[np.arange(4), got]) == pytest.approx(best)
+    for _ in range(60):
+        n, m = draw.integers(1, 6, 2)
+        cost = np.where(draw.random((n, m)) < 0.6, draw.integers(0, 12, (n, m)) / 8, np.inf)
+        i, j = np.nonzero(np.isfinite(cost))
+        chosen = matching.cheapest(i, j, cost[i, j], alone)
+        a, b = i[chosen], j[chosen]
+        assert len(set(a)) == len(a) and len(set(b)) == len(b)
+        assert cost[a, b].sum() + alone * (n + m - 2 * len(a)) == pytest.approx(least_total(cost, alone))
+
+
+def test_near_pairs_and_runners_up_match_plain_search():
+    draw = np.random.default_rng(4)
+    a, b = draw.uniform(-20, 20, (60, 2)), draw.uniform(-20, 20, (50, 2))
+    far = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    i, j, d = matching.near_pairs(a, b, 6.0)
+    assert [*zip(i, j, strict=True)] == [*zip(*np.nonzero(far <= 6.0), strict=True)] and d == pytest.approx(far[i, j])
+    got = matching.runner_up(i, d)
+    assert got.tolist() == [min([d[k] for k in range(len(i)) if i[k] == i[e] and k != e], default=np.inf) for e in range(len(i))]
+    assert len(matching.near_pairs(a, b[:0], 6.0)[0]) == 0
 
 
 def test_most_links_come_first():
     # one short link against two longer ones
-    distance = np.array([[1.0, 5.0], [4.0, 9.0]])
-    got = linking.most_links(distance, distance <= 5, 5.0)
-    assert list(got) == [1, 0]
+    i, j, distance = np.array([0, 0, 1]), np.array([0, 1, 0]), np.array([1.0, 5.0, 4.0])
+    assert matching.cheapest(i, j, *linking.most_links(distance, 4, 5.0)).tolist() == [False, True, True]
+    assert matching.cheapest(i, j, *linking.least_cost(distance, 4, 6.0)).tolist() == [True, False, False]
 
 
 def test_duplicate_rows_are_refused(spark):
