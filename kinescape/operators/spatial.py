@@ -1,15 +1,25 @@
-"""Point patterns: nearest neighbours, pair counts, links within a gate."""
+"""Point patterns: nearest neighbours, pair counts, links within a gate.
+
+Points meet in blocks of a quantile grid, as arrays, so no pair is a row.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinescape.functions.scalars import ratio, ratio_or_zero
 
 
+#: Points of a block, and quantiles that part a group's points into strips and a strip's into cells.
+BLOCK, CUTS = 512, 32
+
+
 def _far(a: str = "x", b: str = "x2") -> Column:
     return F.hypot(F.col(a) - F.col(b), F.col(a.replace("x", "y")) - F.col(b.replace("x", "y")))
 
@@ -23,31 +33,87 @@ def _cells(points: DataFrame, size: Column, spread: int) -> DataFrame:
     return out
 
 
+def _placed(points: DataFrame, by: str, others: DataFrame) -> DataFrame:
+    """Points with strip and cell, by quantiles of ``others``: about as many of them in each, outliers or not."""
+    steps = [i / CUTS for i in range(1, CUTS)]
+    wide = F.ceil(F.sqrt(F.col("n") / BLOCK))  # strips of a group, cells of a strip
+    at = lambda c: F.floor(F.size(F.filter("cuts", lambda q: q < F.col(c))) * F.least(wide, F.lit(CUTS)) / CUTS)
+    group = others.groupBy(by).agg(F.percentile_approx("x", steps, 1000).alias("cuts"), F.count("*").alias("n"))
+    strip = lambda d: d.join(group, by, "left").withColumn("strip", F.coalesce(at("x"), F.lit(0))).drop("cuts", "n")
+    each = strip(others).groupBy(by, "strip").agg(F.percentile_approx("y", steps, 1000).alias("cuts"), F.count("*").alias("m"))
+    each = each.join(group.select(by, "n"), by)
+    return strip(points).join(each, [by, "strip"], "left").withColumn("cell", F.coalesce(at("y"), F.lit(0))).drop("cuts", "n", "m")
+
+
+def _blocks(placed: DataFrame, by: str, point: str) -> DataFrame:
+    """Blocks of at most about ``BLOCK`` points of a cell: by, block, strip, cell, box, p, x, y (arrays)."""
+    count = placed.groupBy(by, "strip", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64(point), F.col("parts"))
+    got = placed.join(count, [by, "strip", "cell"]).groupBy(by, "strip", "cell", part.alias("part")).agg(
+        F.collect_list(F.struct(F.col(point).alias("p"), "x", "y")).alias("all"),
+        *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in ((0, F.min), (1, F.max))),
+    )
+    return got.select(
+        by, F.struct("strip", "cell", "part").alias("block"), "strip", "cell", "x0", "x1", "y0", "y1",
+        F.col("all.p").alias("p"), F.col("all.x").alias("x"), F.col("all.y").alias("y"),
+    )
+
+
+def _apart(a: str, b: str, near: bool) -> Column:
+    """Least or greatest distance between the boxes of two blocks (columns ax0, ... and bx0, ...)."""
+    gaps = []
+    for c in ("x", "y"):
+        one, two = F.col(f"{a}{c}0") - F.col(f"{b}{c}1"), F.col(f"{b}{c}0") - F.col(f"{a}{c}1")
+        gaps.append(F.greatest(one, two, F.lit(0.0)) if near else F.greatest(-one, -two))
+    return F.hypot(*gaps)
+
+
+def _as(df: DataFrame, name: str, by: str) -> DataFrame:
+    return df.select(by, *(F.col(c).alias(f"{name}{c}") for c in df.columns if c != by))
+
+
 def nearest(points: DataFrame, others: DataFrame, by: str = "frame", point: str = "point_id", same: bool = False) -> DataFrame:
     """by, point_id, distance to the nearest of ``others`` in the group; none where there is no other.
 
-    The grid of each group has about one point a cell, so the cells around decide most
-    points; only those whose nearest lies beyond that certain reach meet their whole group.
+    Points meet in blocks of a quantile grid. First those of a point's own cell are tried; the
+    greatest distance found in a block then tells which other blocks can hold a nearer one. A
+    point far from all costs its block more, not its whole group. Equal ids are the same point
+    if ``same``.
     """
-    size = others.groupBy(by).agg(
-        (F.sqrt((F.max("x") - F.min("x") + 1e-9) * (F.max("y") - F.min("y") + 1e-9) / F.count("*")) + 1e-9).alias("cell")
-    )
-    base = points.select(by, F.col(point).alias("p"), "x", "y").join(size, by)
-    other = others.select(by, F.col(point).alias("o"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    grid = _cells(other.withColumnsRenamed({"x2": "x", "y2": "y"}).join(size, by), F.col("cell"), 1).select(
-        by, "o", F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy"
-    )
-    apart = F.col("p") != F.col("o") if same else F.lit(True)
-    close = (
-        _cells(base, F.col("cell"), 0).join(grid, [by, "cx", "cy"]).where(apart)
-        .groupBy(by, "p").agg(F.min(_far()).alias("d"), F.first("cell").alias("cell"))
-        .where("d <= cell").select(by, "p", "d")
-    )
-    rest = (
-        base.join(close, [by, "p"], "left_anti").join(other, by).where(apart)
-        .groupBy(by, "p").agg(F.min(_far()).alias("d"))
-    )
-    return close.unionByName(rest).select(by, F.col("p").alias(point), F.col("d").alias("distance"))
+    theirs = _blocks(_placed(others.select(by, point, "x", "y"), by, others), by, point)
+    mine = theirs if same else _blocks(_placed(points.select(by, point, "x", "y"), by, others), by, point)
+    kind, name = dict(points.dtypes)[point], dict(points.dtypes)[by]
+
+    def least(pairs: DataFrame) -> DataFrame:
+        """by, p, d of the points of the a-block and their nearest of the b-blocks."""
+        schema = f"`{by}` {name}, p {kind}, d double"
+
+        def run(batches):
+            for batch in batches:
+                found = []
+                for g, p, x, y, q, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    far = np.hypot(np.subtract.outer(x, u), np.subtract.outer(y, v))
+                    if same:
+                        far[np.equal.outer(p, q)] = np.inf
+                    found.append(pa.table({by: [g] * len(p), "p": p, "d": far.min(axis=1)}))
+                if found:
+                    yield from pa.concat_tables(found).cast(target).to_batches()
+
+        target = to_arrow_schema(pairs.sparkSession.createDataFrame([], schema).schema)
+        return pairs.select(by, "ap", "ax", "ay", "bp", "bx", "by").mapInArrow(run, schema).groupBy(by, "p").agg(F.min("d").alias("d"))
+
+    here = (F.col("astrip") == F.col("bstrip")) & (F.col("acell") == F.col("bcell"))
+    # as an equi-join on the cell, so blocks of one cell alone meet
+    first = least(_as(mine, "a", by).withColumns({"strip": F.col("astrip"), "cell": F.col("acell")}).join(
+        _as(theirs, "b", by).withColumns({"strip": F.col("bstrip"), "cell": F.col("bcell")}), [by, "strip", "cell"]))
+    reach = mine.select(by, "block", F.explode("p").alias("p")).join(first, [by, "p"], "left")
+    reach = reach.groupBy(by, F.col("block").alias("ablock")).agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("reach"))
+    boxes = lambda d, n: _as(d.drop("p", "x", "y"), n, by)
+    wanted = boxes(mine, "a").join(reach, [by, "ablock"]).join(boxes(theirs, "b"), by).where(~here).where(_apart("a", "b", True) <= F.col("reach"))
+    wanted = wanted.select(by, "ablock", "bblock")
+    more = least(wanted.join(_as(mine, "a", by), [by, "ablock"]).join(_as(theirs, "b", by), [by, "bblock"]))
+    both = first.unionByName(more).groupBy(by, "p").agg(F.min("d").alias("d")).where(F.col("d") < float("inf"))
+    return both.select(by, F.col("p").alias(point), F.col("d").alias("distance"))
 
 
 def pairs_within(points: DataFrame, others: DataFrame, reach: float, by: str = "frame") -> DataFrame:
@@ -66,21 +132,39 @@ def pairs_within(points: DataFrame, others: DataFrame, reach: float, by: str = "
 def ripley(points: DataFrame, radii: list[float], area: Column | float, by: str = "frame", point: str = "point_id") -> DataFrame:
     """K of each group and radius: area / n^2 * ordered pairs no further apart than it.
 
-    Pairs within the largest radius are found once, counted by the radius that first holds
-    them, and summed up from below. No edge correction; 0 for fewer than two points.
+    Points meet in blocks, each two blocks once, and give a row for each radius that first holds
+    some of their pairs; two blocks between whose boxes no radius changes are counted whole.
+    No edge correction; 0 for fewer than two points.
     """
-    from pyspark.sql import Window
-
-    radii = sorted(radii)
+    radii = sorted(float(r) for r in radii)
+    steps = F.array(*map(F.lit, radii))
     n = points.groupBy(by).agg(F.count("*").alias("n"))
-    # each pair once, by the first radius that holds it
-    steps = F.array(*(F.lit(float(r)) for r in radii))
-    close = pairs_within(points.select(by, point, "x", "y"), points.select(by, point, "x", "y"), max(radii[-1], 1e-9), by)
-    counted = (
-        close.where(F.col(point) != F.col(f"o_{point}"))
-        .select(by, F.size(F.filter(steps, lambda r: r < F.col("distance"))).alias("i"))
-        .groupBy(by, "i").agg(F.count("*").alias("pairs"))
-    )
+    held = _blocks(_placed(points.select(by, point, "x", "y"), by, points), by, point).withColumn("n", F.size("p"))
+    boxes = [_as(held.drop("p", "x", "y"), name, by) for name in "ab"]
+    at = lambda near: F.size(F.filter(steps, lambda r: r < _apart("a", "b", near)))
+    met = boxes[0].join(boxes[1], by).where(F.col("ablock") <= F.col("bblock")).withColumns({"i": at(True), "last": at(False)})
+    met = met.where(F.col("i") < len(radii))
+    same = F.col("ablock") == F.col("bblock")
+    whole = met.where((F.col("i") == F.col("last")) & ~same).select(by, "i", (2 * F.col("an") * F.col("bn")).cast("long").alias("pairs"))
+    rest = met.where((F.col("i") != F.col("last")) | same).select(by, "ablock", "bblock")
+    rest = rest.join(_as(held, "a", by), [by, "ablock"]).join(_as(held, "b", by), [by, "bblock"]).select(by, same.alias("same"), "ax", "ay", "bx", "by")
+    schema = f"`{by}` {dict(points.dtypes)[by]}, i int, pairs long"
+    target = to_arrow_schema(points.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for g, one, x, y, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                far = np.hypot(np.subtract.outer(x, u), np.subtract.outer(y, v))
+                if one:
+                    far = far[~np.eye(len(x), dtype=bool)]
+                count = np.bincount(np.searchsorted(radii, far.ravel()), minlength=len(radii) + 1)[: len(radii)] * (1 if one else 2)
+                some = np.flatnonzero(count)
+                found.append(pa.table({by: [g] * len(some), "i": some, "pairs": count[some]}))
+            if found:
+                yield from pa.concat_tables(found, promote_options="permissive").cast(target).to_batches()
+
+    counted = rest.mapInArrow(run, schema).unionByName(whole).groupBy(by, "i").agg(F.sum("pairs").alias("pairs"))
     grid = n.select(by, "n", F.posexplode(steps).alias("i", "radius")).join(counted, [by, "i"], "left")
     total = F.sum(F.coalesce("pairs", F.lit(0))).over(Window.partitionBy(by).orderBy("i"))
     spread = area if isinstance(area, Column) else F.lit(float(area))
