@@ -1,4 +1,5 @@
 import os
+import re
 
 import numpy as np
 import pytest
@@ -237,7 +238,7 @@ def words_left(rows, least):
     """Words in no window of ``least`` words that stands earlier, by a plain search."""
     seen, out = set(), {}
     for i, t in sorted(rows):
-        own = t.split()
+        own = re.findall(r"[^\x20\x09-\x0D]+", t)
         drop = set()
         for a in range(len(own) - least + 1):
             run = tuple(own[a : a + least])
