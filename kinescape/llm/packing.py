@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from kinescape.llm.common import _arrow_schema, mapped
-from kinescape.llm.pieces import encoder
+from kinescape.llm.pieces import CHARACTERS, encoder
 
 #: Worker number in the upper bits of a sequence id, the worker's own count below.
 WORKER_BITS = 36
@@ -98,6 +98,20 @@ class HarmonicPacker:
                     self.count, offset = self.count + 1, 0
 
 
+def _joined(batches: Iterator[pa.RecordBatch], most: int = CHARACTERS) -> Iterator[tuple[list, list]]:
+    """Keys and texts of batches until they hold ``most`` bytes: the more at once, the fewer distinct words."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        keys += batch.column(0).to_pylist()
+        texts += batch.column(1).to_pylist()
+        held += batch.column(1).nbytes
+        if held >= most:
+            yield keys, texts
+            keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def pack(
     df: DataFrame,
     path: str,
@@ -127,10 +141,10 @@ def pack(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         codes, packer = encoder(path, pattern), HarmonicPacker(capacity, held)
-        for batch in batches:
-            ids, sizes = codes.encode(batch.column(1).to_pylist())
+        for keys, texts in _joined(batches):
+            ids, sizes = codes.encode(texts)
             at = 0
-            for doc, n in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+            for doc, n in zip(keys, sizes.tolist(), strict=True):
                 yield from packer.add(doc, np.append(ids[at : at + n], np.int32(end_id)))
                 at += n
         yield from packer.finish()

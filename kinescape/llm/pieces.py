@@ -11,7 +11,7 @@ import base64
 import json
 import os
 import re
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import regex
@@ -26,7 +26,7 @@ _ODD = regex.compile(r"[\s\x00-\x1f\x7f-\x9f]")
 #: Signs that are no letter, digit, blank or apostrophe, so that a match begins at them after letters.
 _SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Distinct pieces of one call of the library, and characters of texts encoded at once.
-PIECES, CHARACTERS = 4096, 1 << 22
+PIECES, CHARACTERS = 4096, 1 << 23
 
 _ready: dict[tuple[str, str], "PieceEncoder"] = {}
 
@@ -130,7 +130,6 @@ class PieceEncoder:
         """The same of distinct words that follow a blank, or of whole matches ``marked`` with a NUL."""
         plain = np.fromiter(map(str.isalpha, chunks), bool, len(chunks))
         pieces = [" " + c for c in compress(chunks, plain)]
-        known = dict(zip(pieces, range(len(pieces))))
         own, counts = [], []
         for c in compress(chunks, ~plain):
             if marked and c[:1] == "\0":
@@ -140,10 +139,13 @@ class PieceEncoder:
             else:
                 found = self.split.findall(" " + c)
             counts.append(len(found))
-            own += [known.setdefault(p, len(known)) for p in found]
-        ids, sizes = self.pieces(list(known))
+            own += found
+        known = list(dict.fromkeys(chain(pieces, own)))  # the plain words first, as they are
+        place = dict(zip(known, range(len(known))))
+        rest = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+        del place
+        ids, sizes = self.pieces(known)
         begins = np.cumsum(sizes) - sizes
-        rest = np.array(own, np.int64)
         counts = np.array(counts, np.int64)
         # ids of the plain words stand first already; those of the others are put after all
         tail = ids[ragged(begins[rest], sizes[rest])]
