@@ -35,16 +35,6 @@ def floored(value: Column, least: float) -> Column:
     return F.when(value < least, 0.0).otherwise(value)
 
 
-def clipped(value: Column, bottom: float | None = None, top: float | None = None) -> Column:
-    """Within bounds; null stays null."""
-    out = value
-    if bottom is not None:
-        out = F.when(out < bottom, F.lit(bottom)).otherwise(out)
-    if top is not None:
-        out = F.when(out > top, F.lit(top)).otherwise(out)
-    return out
-
-
 def min_max(value: Column, *by: str) -> Column:
     """Scaled to 0..1 within each group of ``by``."""
     group = Window.partitionBy(*by)

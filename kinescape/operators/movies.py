@@ -13,8 +13,9 @@ from kinescape.config import MaskSettings, MovieSettings, ParticleSettings, Spot
 from kinescape.functions.scalars import morphology
 from kinescape.kernels import regions, segment
 from kinescape.kernels.morphology import components, skeleton_counts, thinned
-from kinescape.operators import linking, motion, overlap
+from kinescape.operators import linking, motion, overlap, report, stats
 from kinescape.operators.evaluate import mask_scores, scored
+from kinescape.sources.frames import check_frames, check_labels
 
 _KEYS = "movie string, frame int, channel int"
 OBJECTS = (
@@ -201,17 +202,36 @@ def overlap_frames(
     return overlap.overlap(pixels, ("movie", "frame"))
 
 
+#: Measures of objects whose means a frame report holds.
+MEASURES = ["area", "circularity", "eccentricity", "solidity", "aspect_ratio"]
+
+
+def retained_labels(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """Label frames without the labels of tracks that were not kept (movie/channel, frame, ordinal from 0)."""
+    held = kept.groupBy(F.col("movie").alias("name"), "frame").agg(F.collect_set(F.col("ordinal") + 1).alias("kept"))
+    named = found.withColumn("name", F.concat_ws("/", "movie", "channel")).join(held, ["name", "frame"], "left")
+    inside = lambda v: F.when(F.array_contains("kept", v), v).otherwise(F.lit(0))
+    return named.select(*(F.transform("labels", inside).alias(c) if c == "labels" else F.col(c) for c in found.columns))
+
+
 def baseline(
-    frames: DataFrame, settings: MovieSettings | None = None, labels: DataFrame | None = None, region: DataFrame | None = None
+    frames: DataFrame, settings: MovieSettings | None = None, labels: DataFrame | None = None, region: DataFrame | None = None,
+    checked: bool = True,
 ) -> dict[str, DataFrame]:
-    """The baseline route: labels, objects, tracks, steps, summaries and overlap of two channels.
+    """The baseline route: labels, objects, tracks, steps, summaries, overlap of two channels, drift,
+    a report of each frame with its rank correlations, and the sample's row.
 
     ``labels`` are given label frames (movie, frame, channel, labels) in place of segmentation;
     ``region`` (pos from 1, frame if it moves) bounds the overlap. The tables share labelled
-    frames; write or persist them where several are wanted.
+    frames; write or persist them where several are wanted. ``checked`` refuses frames and
+    labels that are not whole, finite and not negative, in one pass over them.
     """
     s = settings or MovieSettings()
     wanted = frames.where(F.col("channel").isin(*s.channels))
+    if checked:
+        check_frames(wanted)
+        if labels is not None:
+            check_labels(labels, "labels")
     if labels is None:
         labelled = label_frames(wanted, dict(zip(s.channels, s.masks, strict=True)))
     else:
@@ -222,18 +242,32 @@ def baseline(
     )
     tracks = linking.link_adjacent(points, s.gate)
     walked = motion.steps(tracks, ("movie", "track_id"), s.calibration, s.drop_ambiguous)
+    by_frame, shared = motion.by_frame(walked, "movie"), overlap_frames(labelled, *s.channels, region=region, percentile=s.background_percentile)
+    kind = lambda c: F.concat(F.lit("channel_"), c)
+    told = report.frame_report(
+        wanted, objects.withColumn("kind", kind(F.col("channel").cast("string"))),
+        by_frame.select(
+            F.regexp_extract("movie", "^(.*)/[^/]*$", 1).alias("movie"), "frame", kind(F.regexp_extract("movie", "([^/]*)$", 1)).alias("kind"), "mean_speed"
+        ),
+        MEASURES, [f"channel_{c}" for c in s.channels], shared, by=("movie", "frame"),
+    )
+    numbers = [c for c, k in told.dtypes if k in ("double", "bigint", "int") and c != "frame"]
     return {
         "labels": labelled, "objects": objects, "tracks": tracks, "steps": walked,
         "motility": motion.summary(walked, ("movie", "track_id"), s.calibration),
-        "frame_motility": motion.by_frame(walked, "movie"),
-        "overlap": overlap_frames(labelled, *s.channels, region=region, percentile=s.background_percentile),
+        "frame_motility": by_frame, "overlap": shared, "report": told, "ranks": stats.spearman(told, numbers, ("movie",)),
+        "sample": report.sample_report(told, s.sample, s.replicate), "drift": drifts(wanted),
     }
 
 
-def particles(frames: DataFrame, settings: ParticleSettings | None = None) -> dict[str, DataFrame]:
-    """The particle route: spots, raw and retained tracks, steps, summaries, shapes of retained labels."""
+def particles(frames: DataFrame, settings: ParticleSettings | None = None, checked: bool = True) -> dict[str, DataFrame]:
+    """The particle route: spots, raw and retained tracks, labels of retained tracks alone, steps,
+    summaries, shapes of retained labels, and with two channels the overlap of retained labels."""
     s = settings or ParticleSettings()
-    found = spot_frames(frames.where(F.col("channel").isin(*s.channels)), s.spots)
+    wanted = frames.where(F.col("channel").isin(*s.channels))
+    if checked:
+        check_frames(wanted)
+    found = spot_frames(wanted, s.spots)
     name = F.concat_ws("/", "movie", "channel")
     points = found.select(name.alias("movie"), "frame", F.posexplode("centres").alias("ordinal", "c")).select(
         "movie", "frame", "ordinal", F.col("c.x").alias("x"), F.col("c.y").alias("y")
@@ -243,8 +277,10 @@ def particles(frames: DataFrame, settings: ParticleSettings | None = None) -> di
     walked = motion.steps(kept, ("movie", "track_id"), s.calibration)
     shapes = measure(found).withColumn("movie", name).withColumnsRenamed({"x": "mask_x", "y": "mask_y"})
     shapes = shapes.join(kept.select("movie", "frame", (F.col("ordinal") + 1).alias("label"), "x", "y", "track_id"), ["movie", "frame", "label"])
-    return {
-        "spots": found, "raw_tracks": raw, "tracks": kept, "steps": walked, "shapes": shapes,
+    left = retained_labels(found, kept)
+    both = {"overlap": overlap_frames(left, *s.channels[:2])} if len(s.channels) > 1 else {}
+    return both | {
+        "spots": found, "labels": left, "raw_tracks": raw, "tracks": kept, "steps": walked, "shapes": shapes,
         "motility": motion.summary(walked, ("movie", "track_id"), s.calibration),
         "frame_motility": motion.by_frame(walked, "movie"),
         "thresholds": found.select("movie", "frame", "channel", "noise_response", "threshold", "detections"),

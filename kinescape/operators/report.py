@@ -10,16 +10,30 @@ from kinescape.operators.motion import check_unique
 _NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
-def frame_report(frames: DataFrame, shapes: DataFrame, speeds: DataFrame, metrics: list[str], kinds: list[str], overlap: DataFrame | None = None) -> DataFrame:
+def frame_report(
+    frames: DataFrame, shapes: DataFrame, speeds: DataFrame, metrics: list[str], kinds: list[str],
+    overlap: DataFrame | None = None, by: tuple[str, ...] = ("frame",),
+) -> DataFrame:
     """One row for each frame of ``frames``: per kind the means of ``metrics``, the number of objects
     (0 without any) and the mean speed; then overlap. Keys are unique by aggregation."""
+    by = list(by)
     wide = [F.avg(F.when(F.col("kind") == k, F.col(m))).alias(f"{k}_{m}") for k in kinds for m in metrics]
     counts = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in kinds]
-    told = shapes.groupBy("frame").agg(*wide, *counts)
-    fast = speeds.groupBy("frame").agg(*(F.max(F.when(F.col("kind") == k, F.col("mean_speed"))).alias(f"{k}_mean_speed") for k in kinds))
-    out = frames.select("frame").distinct().join(told, "frame", "left").join(fast, "frame", "left")
+    told = shapes.groupBy(*by).agg(*wide, *counts)
+    fast = speeds.groupBy(*by).agg(*(F.max(F.when(F.col("kind") == k, F.col("mean_speed"))).alias(f"{k}_mean_speed") for k in kinds))
+    out = frames.select(*by).distinct().join(told, by, "left").join(fast, by, "left")
     out = out.na.fill(0, [f"{k}_count" for k in kinds])
-    return out if overlap is None else out.join(overlap, "frame", "left")
+    return out if overlap is None else out.join(overlap, by, "left")
+
+
+def chained(tables: dict[str, DataFrame], by: str = "frame") -> DataFrame:
+    """Rows of the frames that all tables hold; a column of several tables is named after each of them."""
+    held = [c for t in tables.values() for c in t.columns if c != by]
+    out = None
+    for name, table in tables.items():
+        own = table.select(by, *(F.col(c).alias(f"{c}_{name}" if held.count(c) > 1 else c) for c in table.columns if c != by))
+        out = own if out is None else out.join(own, by)
+    return out
 
 
 def sample_report(report: DataFrame, sample: str, replicate: str | None, drop: tuple[str, ...] = ("frame",)) -> DataFrame:

@@ -25,8 +25,9 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, positiveInf="inf", negativeInf="-inf", nanValue="nan")
 
 
-def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Refuses a path that exists."""
+def write_table(df: DataFrame, path: str, format: str = "parquet", order: tuple[str, ...] = ()) -> None:
+    """Refuses a path that exists; rows go by ``order`` over the files, where it is given."""
+    df = df.orderBy(*order) if order else df
     df.write.mode("errorifexists").format(format).options(**({"header": True} if format == "csv" else {})).save(path)
 
 

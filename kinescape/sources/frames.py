@@ -62,8 +62,16 @@ def labels_above(frames: DataFrame) -> DataFrame:
     return frames.withColumn("pixels", F.transform("pixels", lambda v: (v > 0).cast("double")))
 
 
-def check_labels(labels: DataFrame) -> None:
-    """Raise on labels that are negative, fractional or beyond 32 bits."""
-    bad = F.exists("pixels", lambda v: v.isNull() | (v < 0) | (v != F.floor(v)) | (v >= 2**32))
+def check_frames(frames: DataFrame) -> None:
+    """Raise on frames without all their pixels, or with one that is null, negative or not finite."""
+    bad = F.exists("pixels", lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf")))
+    bad = bad | F.col("pixels").isNull() | (F.size("pixels") != F.col("height") * F.col("width")) | (F.size("pixels") < 1)
+    if not frames.where(bad).limit(1).isEmpty():
+        raise ValueError("frames must be whole, finite and not negative")
+
+
+def check_labels(labels: DataFrame, column: str = "pixels") -> None:
+    """Raise on labels that are null, negative, fractional or beyond 32 bits."""
+    bad = F.exists(column, lambda v: v.isNull() | (v < 0) | (v != F.floor(v)) | (v >= 2**32))
     if not labels.where(bad).limit(1).isEmpty():
         raise ValueError("labels must be whole numbers from 0 to 2^32 - 1")

@@ -18,12 +18,15 @@ def digests(spark: SparkSession, path: str) -> dict[str, str]:
     return {r.name: r.digest for r in rows.orderBy("name").collect()}
 
 
-def manifest(settings, inputs: dict[str, str], counts: dict[str, int], warnings: tuple[str, ...] = ()) -> dict:
-    """The run's identity, settings, inputs, units, counts and warnings."""
+def manifest(
+    settings, inputs: dict[str, str], counts: dict[str, int], warnings: tuple[str, ...] = (), outputs: dict[str, dict[str, str]] | None = None
+) -> dict:
+    """The run's identity, settings, inputs, units, counts, warnings, and the digests of each output's files."""
     c = settings.calibration
     return {
         "run_id": run_id(settings, *inputs.values()), "made": datetime.now(timezone.utc).isoformat(), "settings": json.loads(to_json(settings)),
         "inputs": inputs, "units": {"length": c.length_unit, "speed": c.speed_unit}, "counts": counts, "warnings": list(warnings),
+        "outputs": outputs or {},
     }
 
 

@@ -165,3 +165,138 @@ def test_manifest_names_every_file(spark, tmp_path):
     files = digests(spark, str(tmp_path / "t"))
     told = manifest(MovieSettings(), files, {"objects": 3})
     assert files and told["run_id"] == run_id(MovieSettings(), *files.values()) and told["counts"] == {"objects": 3}
+
+
+def tiff(pages, order="<", description="", strips=2):
+    """An uncompressed file of pages, each in a few strips, written plainly."""
+    import struct
+
+    out, last = bytearray(b"II*\0" if order == "<" else b"MM\0*") + bytearray(4), 4
+    for n, page in enumerate(pages):
+        raw = page.astype(page.dtype.newbyteorder(order)).tobytes()
+        cut = len(raw) // strips // page.itemsize * page.itemsize
+        parts = [raw[:cut], raw[cut:]] if strips == 2 else [raw]
+        places = []
+        for part in parts:
+            places.append(len(out))
+            out += part + b"\0" * (len(part) % 2)
+        lists = []
+        for values in (places, [len(p) for p in parts]):
+            lists.append(len(out) if strips == 2 else values[0])
+            if strips == 2:
+                out += struct.pack(f"{order}2I", *values)
+        text = description.encode() + b"\0"
+        told = len(out)
+        out += text + b"\0" * (len(text) % 2)
+        rows = [(256, 3, 1, page.shape[1]), (257, 3, 1, page.shape[0]), (258, 3, 1, page.itemsize * 8), (259, 3, 1, 1)]
+        rows += [(270, 2, len(text), told)] if n == 0 and description else []
+        rows += [(273, 4, strips, lists[0]), (277, 3, 1, 1), (279, 4, strips, lists[1]), (339, 3, 1, {"u": 1, "i": 2, "f": 3}[page.dtype.kind])]
+        struct.pack_into(f"{order}I", out, last, len(out))
+        out += struct.pack(f"{order}H", len(rows))
+        for tag, kind, number, value in rows:
+            out += struct.pack(f"{order}HHI", tag, kind, number) + (struct.pack(f"{order}HH", value, 0) if kind == 3 else struct.pack(f"{order}I", value))
+        last = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order,kind,strips", [("<", "u2", 2), (">", "f4", 1), (">", "u1", 2)])
+def test_tiff_files_become_frame_rows(spark, tmp_path, order, kind, strips):
+    from kinescape.sources.tiff import decoded, read_tiff
+
+    pages = (np.arange(6 * 4 * 6).reshape(6, 4, 6) % 250).astype(kind)
+    (tmp_path / "one.tif").write_bytes(tiff(pages, order, "ImageJ=1\nchannels=2\nframes=3\n", strips))
+    got = {(r.frame, r.channel): r for r in read_tiff(spark, str(tmp_path / "*.tif")).collect()}
+    assert len(got) == 6 and all(r.movie == "one.tif" and (r.height, r.width) == (4, 6) for r in got.values())
+    assert all(got[n // 2, n % 2].pixels == pages[n].ravel().tolist() for n in range(6))
+    assert (decoded(tiff(pages, order))[0] == pages).all()
+    with pytest.raises(ValueError):
+        decoded(b"nothing")
+
+
+def test_known_discs_and_strict_otsu():
+    from kinescape.kernels.synthetic import known_discs
+
+    plain = np.zeros((40, 50), bool)
+    draw = np.random.default_rng(3)
+    centres, reach = draw.integers(0, (40, 50), (5, 2)), draw.integers(2, 4, 5, endpoint=True)
+    for (a, b), r in zip(centres, reach, strict=True):
+        plain |= (np.arange(40)[:, None] - a) ** 2 + (np.arange(50)[None, :] - b) ** 2 <= r * r
+    assert (known_discs(shape=(40, 50), count=5, radii=(2, 4), seed=3) == plain).all()
+    image = np.where(plain, 9.0, 1.0)
+    assert (known_discs(image) == plain).all()
+
+
+def test_short_tracks_leave_the_masks(spark):
+    y, x = np.mgrid[0:64, 0:64]
+    rows = []
+    for f in range(5):
+        image = 100 + 300 * np.exp(-((y - 20) ** 2 + (x - 20 - f) ** 2) / 4.5)
+        rows.append(image + (200 * np.exp(-((y - 44) ** 2 + (x - 44) ** 2) / 4.5) if f == 2 else 0))
+    stack = np.stack([np.stack(rows), np.stack(rows)], axis=-1)
+    got = movies.particles(frames.from_array(spark, "m", stack), ParticleSettings(channels=(0, 1)))
+    raw, kept = (got[n].select("frame", "channel", F.array_distinct("labels").alias("l")).collect() for n in ("spots", "labels"))
+    assert {(r.frame, r.channel): len(r.l) for r in raw} == {(f, c): 3 if f == 2 else 2 for f in range(5) for c in (0, 1)}
+    assert all(len(r.l) == 2 for r in kept) and len(kept) == 10
+    assert all(r.jaccard == 1 for r in got["overlap"].collect())
+
+
+def test_routes_refuse_odd_frames_and_labels(spark):
+    bad = np.full((2, 8, 8, 1), 3.0)
+    rows = frames.from_array(spark, "m", bad)
+    cut = rows.withColumn("pixels", F.slice("pixels", 1, 5))
+    odd = rows.withColumn("pixels", F.transform("pixels", lambda v, i: F.when(i == 3, F.lit(float("nan"))).otherwise(v)))
+    for given in (cut, odd, rows.withColumn("pixels", F.transform("pixels", lambda v: -v))):
+        with pytest.raises(ValueError):
+            movies.particles(given)
+        with pytest.raises(ValueError):
+            movies.baseline(given)
+    labels = rows.select("movie", "frame", "channel", F.transform("pixels", lambda v: v - 5).alias("labels"))
+    with pytest.raises(ValueError):
+        movies.baseline(rows, labels=labels)
+    assert {v for r in frames.labels_above(rows).collect() for v in r.pixels} == {1.0}
+
+
+def test_route_gives_reports_ranks_sample_and_drift(spark):
+    got = movies.baseline(movie(spark), MovieSettings(gate=3.0, sample="s", replicate="r"))
+    told = got["report"].toPandas()
+    assert len(told) == 4 and set(told.channel_0_count) == {1} and set(told.channel_1_area) == {45.0} and told.pearson.notna().all()
+    assert sorted(told.channel_0_mean_speed.dropna()) == [1.0, 1.0, 1.0]
+    row = got["sample"].first()
+    assert (row.sample_id, row.replicate_id, row.frames, row.channel_1_area) == ("s", "r", 4, 45.0)
+    assert got["drift"].count() == 4 and got["ranks"].where("var_a = 'channel_0_area' AND rho IS NOT NULL").count() == 0
+
+
+def test_tables_are_written_in_order_and_previewed(spark, tmp_path):
+    rows = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "frame int, name string").repartition(3)
+    exchange.write_table(rows, str(tmp_path / "t"), "csv", order=("frame",))
+    names = sorted(p for p in (tmp_path / "t").iterdir() if p.name.startswith("part"))
+    assert [line for p in names for line in p.read_text().split() if "," in line and "frame" not in line] == ["1,a", "2,b", "3,c"]
+    told = report.preview(rows, rows=2, columns=1, shown=1)
+    assert told["columns"] == ["frame"] and told["rows"] == 2 and len(told["first"]) == 1
+
+
+def test_chained_frames_and_legacy_circularity(spark):
+    from kinescape.functions import scalars
+
+    a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "frame int, mean double")
+    b = spark.createDataFrame([(2, 5.0, 1), (3, 6.0, 1)], "frame int, mean double, n int")
+    assert report.chained({"a": a, "b": b}).first().asDict() == {"frame": 2, "mean_a": 3.0, "mean_b": 5.0, "n": 1}
+    row = spark.range(1).select(
+        scalars.legacy_circularity(F.lit(12.0), F.lit(4.0)).alias("most"), scalars.legacy_circularity(F.lit(1.0), F.lit(0.0)).alias("zero"),
+        scalars.circularity(F.lit(1.0), F.lit(0.0)).alias("none"),
+    ).first()
+    assert (row.most, row.zero, row.none) == (1.0, 1.0, None)
+
+
+def test_command_line_writes_tables_and_digests(spark, tmp_path, monkeypatch):
+    import json
+
+    from kinescape import __main__ as command
+
+    movie(spark).write.parquet(str(tmp_path / "frames"))
+    (tmp_path / "settings.json").write_text(to_json(MovieSettings(gate=3.0)))
+    command.main("baseline", str(tmp_path / "frames"), str(tmp_path / "settings.json"), str(tmp_path / "out"))
+    (line,) = [r.value for r in spark.read.text(str(tmp_path / "out/manifest")).collect()]
+    told = json.loads(line)
+    assert told["counts"]["objects"] == 8 and set(told["outputs"]) == set(told["counts"]) and all(told["outputs"].values())
