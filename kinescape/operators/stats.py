@@ -11,11 +11,34 @@ from kinescape.functions.scalars import normal_tail, ratio
 from kinescape.operators.overlap import pearson
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Mean of the ranks that ties share."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return F.rank().over(order) + (ties - 1) / F.lit(2.0)
+#: Ranges into which a group's values are cut, so that no group is sorted in one task.
+RANGES = 64
+
+
+def standing(df: DataFrame, value: str, by: tuple[str, ...] = (), name: str | None = None) -> DataFrame:
+    """Rows with ``name``: a struct of below and ties, the rows of the group with a lesser and with an equal value.
+
+    Equal values are counted first. Approximate quantiles cut each group into ranges, which are
+    summed over on their own; what the ranges before hold is added from a table of at most
+    ``RANGES`` rows a group. Null values stand nowhere.
+    """
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)] or [F.lit(0).alias("__k0")]
+    names = [f"__k{i}" for i in range(max(len(by), 1))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("ties"))
+    cuts = counts.groupBy(*names).agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"))
+    placed = counts.join(cuts, names).withColumn("range", F.size(F.filter("cuts", lambda q: q < F.col("__v")))).drop("cuts")
+    held = placed.groupBy(*names, "range").agg(F.sum("ties").alias("n"))
+    before = held.select(*names, "range", (F.sum("n").over(Window.partitionBy(*names).orderBy("range")) - F.col("n")).alias("before"))
+    own = F.sum("ties").over(Window.partitionBy(*names, "range").orderBy("__v")) - F.col("ties")
+    told = placed.withColumn("own", own).join(before, [*names, "range"])
+    told = told.select(*names, "__v", F.struct((F.col("own") + F.col("before")).alias("below"), "ties").alias(name or f"{value}_standing"))
+    joined = df.select("*", *keys, F.col(value).alias("__v")).join(told, [*names, "__v"], "left")
+    return joined.drop(*names, "__v")
+
+
+def average_rank(standing: str) -> Column:
+    """Mean of the ranks that ties share, from :func:`standing`."""
+    return F.col(f"{standing}.below") + (F.col(f"{standing}.ties") + 1) / F.lit(2.0)
 
 
 def spearman(df: DataFrame, variables: list[str], by: tuple[str, ...] = (), least: int = 3, digits: int | None = None) -> DataFrame:
@@ -28,7 +51,8 @@ def spearman(df: DataFrame, variables: list[str], by: tuple[str, ...] = (), leas
     )
     long = df.select(*by, F.explode(pairs).alias("v")).select(*by, "v.*").where("p IS NOT NULL AND q IS NOT NULL")
     keys = (*by, "var_a", "var_b")
-    ranked = long.select(*keys, average_rank("p", *keys).alias("p"), average_rank("q", *keys).alias("q"))
+    ranked = standing(standing(long, "p", keys, "at_p"), "q", keys, "at_q")
+    ranked = ranked.select(*keys, average_rank("at_p").alias("p"), average_rank("at_q").alias("q"))
     got = ranked.groupBy(*keys).agg(pearson(F.col("p"), F.col("q")).alias("rho"), F.count("*").alias("n"))
     rho = F.when(F.col("n") >= least, F.col("rho"))
     return got.withColumn("rho", F.round(rho, digits) + F.lit(0.0) if digits is not None else rho)
@@ -66,9 +90,7 @@ def two_populations(df: DataFrame, kind: str, first: str, second: str, metrics:
     metrics, 1 at most. Undefined values are null.
     """
     known = long_form(df.where(F.col(kind).isin(first, second)), [kind], metrics).where("value IS NOT NULL")
-    ranked = known.withColumn("rank", average_rank("value", "metric")).withColumn(
-        "ties", F.count("*").over(Window.partitionBy("metric", "value")).cast("double")
-    )
+    ranked = standing(known, "value", ("metric",), "at").withColumn("rank", average_rank("at")).withColumn("ties", F.col("at.ties").cast("double"))
     a, b = F.col(kind) == first, F.col(kind) == second
     of = lambda f, m, c: f(F.when(m, F.col(c)))
     got = ranked.groupBy("metric").agg(
@@ -103,7 +125,10 @@ def two_populations(df: DataFrame, kind: str, first: str, second: str, metrics:
 def ecdf(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Each known value with the share of values up to it."""
     known = df.where(F.col(value).isNotNull())
-    return known.select(*by, value, F.cume_dist().over(Window.partitionBy(*by).orderBy(value)).alias("share"))
+    names = [F.col(k).alias(f"__g{i}") for i, k in enumerate(by)] or [F.lit(0).alias("__g0")]
+    totals = known.groupBy(*names).agg(F.count("*").alias("__n"))
+    held = standing(known.select(*by, value), value, by, "__at").select("*", *names).join(totals, [f"__g{i}" for i in range(len(names))])
+    return held.select(*by, value, ratio(F.col("__at.below") + F.col("__at.ties"), F.col("__n")).alias("share"))
 
 
 def histogram(df: DataFrame, value: str, by: list[str], bins: int = 30) -> DataFrame:
@@ -122,12 +147,14 @@ def tool_comparison(ours: DataFrame, theirs: DataFrame, metrics: list[str], orde
     """
 
     def placed(df: DataFrame, name: str) -> DataFrame:
-        long = long_form(df, [order], metrics).where("value IS NOT NULL")
-        at = F.row_number().over(Window.partitionBy("metric").orderBy(order))
+        long = standing(long_form(df, [order], metrics).where("value IS NOT NULL"), order, ("metric",), "place")
+        # rows of one place follow each other
+        at = F.col("place.below") + F.row_number().over(Window.partitionBy("metric", order).orderBy("value"))
         return long.select("metric", at.alias("at"), F.col("value").alias(name))
 
     pairs = placed(ours, "a").join(placed(theirs, "b"), ["metric", "at"])
-    ranked = pairs.withColumn("p", average_rank("a", "metric")).withColumn("q", average_rank("b", "metric"))
+    ranked = standing(standing(pairs, "a", ("metric",), "at_a"), "b", ("metric",), "at_b")
+    ranked = ranked.withColumn("p", average_rank("at_a")).withColumn("q", average_rank("at_b"))
     got = ranked.groupBy("metric").agg(
         F.avg("a").alias("mean_a"), F.stddev_samp("a").alias("std_a"), F.avg("b").alias("mean_b"),
         F.stddev_samp("b").alias("std_b"), pearson(F.col("p"), F.col("q")).alias("rho"), F.count("*").alias("n"),

@@ -472,6 +472,33 @@ def network_indices(spark, sf_dir):
     )
 
 
+@_query(f"""WITH {A.SHAPES}, p AS (SELECT frame, count(*) AS n, round(avg(area), 6) AS mean FROM shapes WHERE kind = 'p' GROUP BY 1),
+  q AS (SELECT frame, count(*) AS n, round(avg(area), 6) AS mean FROM shapes WHERE kind = 'q' GROUP BY 1), r AS (SELECT frame, round(avg(aspect_ratio), 4) AS ratio FROM shapes GROUP BY 1)
+SELECT frame, p.n AS n_p, p.mean AS mean_p, q.n AS n_q, q.mean AS mean_q, ratio FROM p JOIN q USING (frame) JOIN r USING (frame)""")
+def chained_frames(spark, sf_dir):
+    objects = A.shapes(spark, sf_dir)
+    each = {k: objects.where(F.col("kind") == k).groupBy("frame").agg(F.count("*").alias("n"), F.round(F.avg("area"), 6).alias("mean")) for k in ("p", "q")}
+    return report.chained(each | {"r": objects.groupBy("frame").agg(F.round(F.avg("aspect_ratio"), 4).alias("ratio"))})
+
+
+@_query(f"""WITH {A.SHAPES} SELECT kind, frame, object_id, count(*) AS n, round(sum(least(1.0, 4 * pi() * area / (aspect_ratio * aspect_ratio + 1e-9))), 6) AS legacy,
+  round(sum(4 * pi() * area / nullif(aspect_ratio * aspect_ratio, 0)), 6) AS plain FROM shapes GROUP BY 1, 2, 3""")
+def circularities(spark, sf_dir):
+    got = A.shapes(spark, sf_dir).groupBy("kind", "frame", "object_id")
+    area, length = F.col("area"), F.col("aspect_ratio")
+    return got.agg(
+        F.count("*").alias("n"), F.round(F.sum(scalars.legacy_circularity(area, length)), 6).alias("legacy"),
+        F.round(F.sum(scalars.circularity(area, length)), 6).alias("plain"),
+    )
+
+
+@_query(f"""WITH {A.SHAPES} SELECT kind, CASE WHEN eccentricity >= 0.8 AND area >= 20 THEN 'Elongated' WHEN eccentricity <= 0.6 AND area >= 10 THEN 'Punctate'
+  ELSE 'Intermediate' END AS morphology, count(*) AS n FROM shapes GROUP BY 1, 2""")
+def gated_morphology(spark, sf_dir):
+    kind = scalars.morphology(F.col("eccentricity"), F.col("area"), least_elongated=20, least_punctate=10)
+    return A.shapes(spark, sf_dir).groupBy("kind", kind.alias("morphology")).agg(F.count("*").alias("n"))
+
+
 @_query(f"""WITH {A.SHAPES} SELECT kind, frame, 'a' AS source, area FROM shapes WHERE kind = 'p' UNION ALL BY NAME SELECT kind, frame, 'b' AS source, area FROM shapes WHERE kind = 'q'""")
 def union_by_name(spark, sf_dir):
     objects = A.shapes(spark, sf_dir).select("kind", "frame", "area")
