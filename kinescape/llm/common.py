@@ -42,14 +42,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/kinescape/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    back.stored_at = path
+    back.__dict__["stored at"] = path  # not an attribute, which a column could have
     return back
 
 
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by :func:`stored` that nothing reads any more."""
     for df in tables:
-        if path := getattr(df, "stored_at", None):
+        if path := df.__dict__.get("stored at"):
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
@@ -137,8 +137,10 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long), by alternating star contraction.
 
     Returns node, component for every node that has an edge; the component is its smallest
-    node. Each round is two aggregations and a written table; neither edges nor labels reach
-    the driver. Loops and null ends are ignored; repeated edges count once.
+    node. Each round is two aggregations and two written tables; neither edges nor labels reach
+    the driver. Loops and null ends are ignored; repeated edges count once. The least
+    neighbours are written before they are joined, so that the rows of a node with many
+    neighbours can be split over tasks.
     """
     now = stored(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -149,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
+        least = stored(least.select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # large star: every larger neighbour points at the least one
         large = large.where("u <> v").distinct()
@@ -160,7 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
         ).select("e.*").where("u <> v").distinct()
         after = stored(small)
         told = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(now)
+        dropped(now, least)
         now = after
         if tuple(told) == mark:
             break

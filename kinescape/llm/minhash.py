@@ -315,7 +315,8 @@ def near_duplicates(
     labels = stored(components(_checked(likely, sets, threshold)))
     told = members.join(labels, members.class_id == labels.node, "left").withColumn("label", F.coalesce("component", "class_id"))
     differ = told.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest")
-    at = told.drop("node", "component").join(differ.select("bucket"), "bucket").withColumn("own", block)
+    differ = stored(differ.select("bucket"))  # so that a bucket of many members can be split over tasks
+    at = told.drop("node", "component").join(differ, "bucket").withColumn("own", block)
     # each member meets every block once: as the lower or the upper side of the pair
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     at = at.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
@@ -327,7 +328,7 @@ def near_duplicates(
     wanted = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
     labelled = stored(marked.join(wanted, "label", "left_semi"))
     last = components(_joined(pairs, labelled, cut, threshold)).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    dropped(members, sets, likely, pairs, labelled)
+    dropped(members, sets, likely, differ, pairs, labelled)
     out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     out = out.join(labels, out.class_id == labels.node, "left")
     out = out.withColumn("component", F.coalesce("component", "class_id")).join(last, "component", "left")
