@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescape.llm.common import stored
+from kinescape.llm.common import dropped, stored
 from kinescape.llm.langid import NO_LANGUAGE, fit, predict
 from kinescape.llm.line_dedup import drop_repeated
 from kinescape.llm.minhash import near_duplicates
@@ -73,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each on a written table of what its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
