@@ -158,8 +158,8 @@ def _shared(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[at] == p).sum())
 
 
-def _joined(pairs: DataFrame, labelled: DataFrame, cut: float, threshold: int) -> DataFrame:
-    """a, b of the pairs of labels of which some members link by their full sets.
+def _joined(pairs: DataFrame, labelled: DataFrame, cut: float, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """a, b of the pairs of labels of which some members link by their full sets, and a table to drop after use.
 
     The smaller label's members go to the larger one's, in blocks of either side; what a block
     finds is one row for each two labels, however many members link.
@@ -172,7 +172,8 @@ def _joined(pairs: DataFrame, labelled: DataFrame, cut: float, threshold: int) -
     small = told.join(labelled, "label")
     own = labelled.withColumnRenamed("label", "big").join(told.select("big").distinct(), "big").withColumn("label", F.col("big"))
     count = lambda d, n: d.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).alias(n))
-    blocks = count(small, "rows").join(count(own, "columns"), "big")
+    # written before it is joined, so that a label of many members can be split over tasks
+    blocks = stored(count(small, "rows").join(count(own, "columns"), "big"))
     at = F.xxhash64("class_id", "big")
 
     def side(df: DataFrame, number: int, mine: str, other: str) -> DataFrame:
@@ -214,7 +215,7 @@ def _joined(pairs: DataFrame, labelled: DataFrame, cut: float, threshold: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=target)
 
     dealt = both.repartition("slot").sortWithinPartitions("slot", "side", "class_id")
-    return mapped(dealt, run, schema).distinct()
+    return mapped(dealt, run, schema).distinct(), blocks
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -327,8 +328,9 @@ def near_duplicates(
     marked = marked.select("class_id", F.coalesce("component", "class_id").alias("label"), "items", "sig")
     wanted = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
     labelled = stored(marked.join(wanted, "label", "left_semi"))
-    last = components(_joined(pairs, labelled, cut, threshold)).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    dropped(members, sets, likely, differ, pairs, labelled)
+    linked, blocks = _joined(pairs, labelled, cut, threshold)
+    last = components(linked).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    dropped(members, sets, likely, differ, pairs, labelled, blocks)
     out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     out = out.join(labels, out.class_id == labels.node, "left")
     out = out.withColumn("component", F.coalesce("component", "class_id")).join(last, "component", "left")
