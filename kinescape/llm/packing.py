@@ -142,7 +142,7 @@ def pack(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         codes, packer = encoder(path, pattern), HarmonicPacker(capacity, held)
         for keys, texts in _joined(batches):
-            ids, sizes = codes.encode(texts)
+            ids, sizes = codes.encode(texts, quick=True)
             at = 0
             for doc, n in zip(keys, sizes.tolist(), strict=True):
                 yield from packer.add(doc, np.append(ids[at : at + n], np.int32(end_id)))

@@ -44,7 +44,11 @@ def test_json_ids_equal_its_library():
     full = Tokenizer.from_file(JSON)
     full.encode_special_tokens = True
     texts = [t or "" for _, t in EDGES] + [strange(i) for i in range(1000)]
-    assert each(encoder(JSON, P.PATTERN), texts) == [full.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["x" * 300 + " " + "y" * 500, " é ß word. word, Ünï 你好 words"]
+    want = [full.encode(t, add_special_tokens=False).ids for t in texts]
+    for quick in (False, True):
+        ids, sizes = encoder(JSON, P.PATTERN).encode(texts, quick)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
 def test_small_calls_give_the_same_ids(plain, monkeypatch):
