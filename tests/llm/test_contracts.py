@@ -17,7 +17,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from kinescape.llm import fingerprints, langid, licenses, secrets  # noqa: E402
-from kinescape.llm.queries import queries  # noqa: E402
+from kinescape.llm.queries import oracle_sql, queries  # noqa: E402
 from tests.llm.conftest import EDGES  # noqa: E402
 from tests.llm.test_duplicates import joined, plain_groups, vectors, words_left  # noqa: E402
 
@@ -361,3 +361,19 @@ def test_pipeline_texts_and_ids(spark, folder, texts):
     want = json_ids({i: r.text for i, r in after.items()})
     pieces_hold(corpus_pipeline.packed(spark, docs, folder).collect(), want)
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()} == want.keys()
+
+
+@pytest.mark.parametrize("name,tables", [("op9_pivot_permutation", "check_s"), ("op10_bbit_minhash", "sf0.01")])
+def test_query_matches_its_sql(spark, name, tables):
+    duckdb = pytest.importorskip("duckdb")
+    at = f"/root/testdata/{tables}"
+    if not os.path.exists(at):
+        pytest.skip("no such tables here")
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{at}/{table}.parquet{"/*" if os.path.isdir(f"{at}/{table}.parquet") else ""}')")
+    asked = con.execute(oracle_sql()[name])
+    columns, want = [c[0] for c in asked.description], sorted(asked.fetchall())
+    got = queries()[name](spark, at)
+    assert got.columns == columns and not all(r[-1] for r in want)
+    assert sorted(tuple(r) for r in got.collect()) == want
