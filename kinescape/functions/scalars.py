@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -71,13 +72,48 @@ def connectivity(branches: Column, ends: Column) -> Column:
     return branches / (ends + 1.0)
 
 
+def bound(f: Callable[[Column], Column], **values: Column) -> Column:
+    """``f`` of a struct of ``values``, each of which is computed once."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f)[0]
+
+
+def integral(f: Callable[[Column], Column], low: Column, high: Column, pieces: int = 400) -> Column:
+    """Simpson's rule over an even number of equal pieces; null where a bound is null."""
+
+    def summed(at: Column) -> Column:
+        def added(total: Column, i: Column) -> Column:
+            weight = F.when((i == 0) | (i == pieces), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+            return total + weight * f(at["low"] + i * at["step"])
+
+        return at["step"] / 3 * F.aggregate(F.sequence(F.lit(0), F.lit(pieces)), F.lit(0.0), added)
+
+    return bound(summed, low=low, step=(high - low) / pieces)
+
+
 def normal_tail(z: Column) -> Column:
-    """Two-sided tail of the normal distribution, by a rational approximation of erfc (1.2e-7)."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.5 * x)
-    # fixed values: coefficients of the approximation, from t**0 up
-    terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(0.0)
-    for c in reversed(terms):
-        poly = poly * t + c
-    return t * F.exp(-x * x + poly)
+    """Two-sided tail of the normal distribution, by the density up to ten deviations further."""
+
+    def tail(of: Column) -> Column:
+        beyond = integral(lambda v: F.exp(-v * v / 2), of["x"], of["x"] + 10.0)
+        return F.when(of["x"].isNotNull(), F.least(F.lit(1.0), math.sqrt(2.0 / math.pi) * beyond))
+
+    return bound(tail, x=F.abs(z))
+
+
+def student_tail(t: Column, freedom: Column) -> Column:
+    """Two-sided tail of Student's t distribution, for at least one degree of freedom, whole or not.
+
+    With t = sqrt(freedom) * tan(a) the density is a power of cos(a); a = pi/2 - s*s smooths its
+    end. The part left out lies ten deviations further.
+    """
+
+    def tail(of: Column) -> Column:
+        def beyond(left: Column) -> Column:
+            nearest = F.sqrt(F.greatest(left - 10.0 / F.sqrt(of["free"]), F.lit(0.0)))
+            return integral(lambda s: 2.0 * s * F.pow(F.sin(s * s), of["free"] - 1.0), nearest, F.sqrt(left))
+
+        share = ratio(beyond(of["left"]), beyond(F.lit(math.pi / 2)))
+        return F.when(of["left"].isNotNull(), F.least(F.lit(1.0), share))
+
+    free = F.when(freedom >= 1, freedom)
+    return bound(tail, left=math.pi / 2 - F.atan(F.abs(t) / F.sqrt(free)), free=free)

@@ -7,33 +7,56 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinescape.functions.scalars import normal_tail, ratio
+from kinescape.functions.scalars import normal_tail, ratio, student_tail
 from kinescape.operators.overlap import pearson
 
 
-#: Ranges into which a group's values are cut, so that no group is sorted in one task.
-RANGES = 64
+#: Ranges of each octave of values, so that no group is sorted in one task.
+PIECES = 1 << 14
 
 
-def standing(df: DataFrame, value: str, by: tuple[str, ...] = (), name: str | None = None) -> DataFrame:
-    """Rows with ``name``: a struct of below and ties, the rows of the group with a lesser and with an equal value.
+def _range(value: Column) -> Column:
+    """Number of a value's range: greater values have no lesser number. It depends on the value alone."""
+    v = value.cast("double")
+    size = F.abs(v)
+    octave = F.floor(F.log2(size)).cast("double")
+    # a line within each octave, from octave to octave + 1; the least octave of doubles is -1074
+    place = F.floor(PIECES * F.signum(v) * (1100.0 + octave + size / F.pow(F.lit(2.0), octave)))
+    last = 4096 * PIECES
+    infinite = F.when(v > 0, last).otherwise(-last)
+    return F.when(F.isnan(v), 2 * last).when(size == float("inf"), infinite).when(v == 0, 0).otherwise(place).cast("long")
 
-    Equal values are counted first. Approximate quantiles cut each group into ranges, which are
-    summed over on their own; what the ranges before hold is added from a table of at most
-    ``RANGES`` rows a group. Null values stand nowhere.
-    """
+
+def _told(df: DataFrame, value: str, by: tuple[str, ...], name: str) -> tuple[list[Column], list[str], DataFrame]:
+    """Columns that stand for ``by``, their names, and a row for each group and value ``__v`` with ``name``."""
     keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)] or [F.lit(0).alias("__k0")]
     names = [f"__k{i}" for i in range(max(len(by), 1))]
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("ties"))
-    cuts = counts.groupBy(*names).agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"))
-    placed = counts.join(cuts, names).withColumn("range", F.size(F.filter("cuts", lambda q: q < F.col("__v")))).drop("cuts")
+    placed = counts.withColumn("range", _range(F.col("__v")))
     held = placed.groupBy(*names, "range").agg(F.sum("ties").alias("n"))
     before = held.select(*names, "range", (F.sum("n").over(Window.partitionBy(*names).orderBy("range")) - F.col("n")).alias("before"))
     own = F.sum("ties").over(Window.partitionBy(*names, "range").orderBy("__v")) - F.col("ties")
     told = placed.withColumn("own", own).join(before, [*names, "range"])
-    told = told.select(*names, "__v", F.struct((F.col("own") + F.col("before")).alias("below"), "ties").alias(name or f"{value}_standing"))
-    joined = df.select("*", *keys, F.col(value).alias("__v")).join(told, [*names, "__v"], "left")
-    return joined.drop(*names, "__v")
+    return keys, names, told.select(*names, "__v", F.struct((F.col("own") + F.col("before")).alias("below"), "ties").alias(name))
+
+
+def standing(df: DataFrame, value: str, by: tuple[str, ...] = (), name: str | None = None) -> DataFrame:
+    """Rows with ``name``: a struct of below and ties, the rows of the group with a lesser and with an equal value.
+
+    Equal values are counted first. Each octave of values is cut into ``PIECES`` fixed ranges,
+    which are summed over on their own; what the ranges before hold is added from a table of
+    a row for each range that a group uses. Null values stand nowhere.
+    """
+    return standings(df, by, **{value: name or f"{value}_standing"})
+
+
+def standings(df: DataFrame, by: tuple[str, ...], **named: str) -> DataFrame:
+    """As :func:`standing` for several values, each counted from ``df`` itself."""
+    out = df
+    for value, name in named.items():
+        keys, names, told = _told(df, value, by, name)
+        out = out.select("*", *keys, F.col(value).alias("__v")).join(told, [*names, "__v"], "left").drop(*names, "__v")
+    return out
 
 
 def average_rank(standing: str) -> Column:
@@ -51,7 +74,7 @@ def spearman(df: DataFrame, variables: list[str], by: tuple[str, ...] = (), leas
     )
     long = df.select(*by, F.explode(pairs).alias("v")).select(*by, "v.*").where("p IS NOT NULL AND q IS NOT NULL")
     keys = (*by, "var_a", "var_b")
-    ranked = standing(standing(long, "p", keys, "at_p"), "q", keys, "at_q")
+    ranked = standings(long, keys, p="at_p", q="at_q")
     ranked = ranked.select(*keys, average_rank("at_p").alias("p"), average_rank("at_q").alias("q"))
     got = ranked.groupBy(*keys).agg(pearson(F.col("p"), F.col("q")).alias("rho"), F.count("*").alias("n"))
     rho = F.when(F.col("n") >= least, F.col("rho"))
@@ -87,7 +110,7 @@ def two_populations(df: DataFrame, kind: str, first: str, second: str, metrics:
     """Mann-Whitney U with rank-biserial effect, Cohen's d in two forms, t statistics, of each metric.
 
     p is the normal approximation with tie correction; p_adjusted multiplies by the number of
-    metrics, 1 at most. Undefined values are null.
+    metrics, 1 at most. welch_p and student_p are two-sided. Undefined values are null.
     """
     known = long_form(df.where(F.col(kind).isin(first, second)), [kind], metrics).where("value IS NOT NULL")
     ranked = standing(known, "value", ("metric",), "at").withColumn("rank", average_rank("at")).withColumn("ties", F.col("at.ties").cast("double"))
@@ -106,13 +129,16 @@ def two_populations(df: DataFrame, kind: str, first: str, second: str, metrics:
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(ratio(F.col("tied"), n * (n - 1)), F.lit(0.0))))
     pooled = F.sqrt(ratio((n1 - 1) * v1 + (n2 - 1) * v2, n - 2))
     apart = F.col("mean1") - F.col("mean2")
+    e1, e2 = v1 / n1, v2 / n2
+    welch, student = ratio(apart, F.sqrt(e1 + e2)), ratio(apart, pooled * F.sqrt(1 / n1 + 1 / n2))
+    freedom = ratio((e1 + e2) * (e1 + e2), ratio(e1 * e1, n1 - 1) + ratio(e2 * e2, n2 - 1))
     out = got.select(
         "metric", n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("u"),
         (1 - ratio(2 * u, n1 * n2)).alias("rank_biserial"),
         ratio(apart, pooled).alias("cohens_d"),
         (apart / (F.sqrt((v1 + v2) / 2) + F.lit(1e-12))).alias("cohens_d_plain"),
-        ratio(apart, F.sqrt(v1 / n1 + v2 / n2)).alias("welch_t"),
-        ratio(apart, pooled * F.sqrt(1 / n1 + 1 / n2)).alias("student_t"),
+        welch.alias("welch_t"), student.alias("student_t"),
+        student_tail(welch, freedom).alias("welch_p"), student_tail(student, n - 2).alias("student_p"),
         normal_tail(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.nullif(spread, F.lit(0.0))).alias("p"),
     )
     m = F.count("p").over(Window.partitionBy())
@@ -142,8 +168,8 @@ def histogram(df: DataFrame, value: str, by: list[str], bins: int = 30) -> DataF
 def tool_comparison(ours: DataFrame, theirs: DataFrame, metrics: list[str], order: str) -> DataFrame:
     """Two tables paired by their place in ``order``, metric by metric, after nulls are dropped.
 
-    Mean and sample deviation of either, Spearman of the paired prefix and the difference of
-    means in percent; a metric with fewer than three pairs is left out.
+    Mean and sample deviation of either, Spearman of the paired prefix with its two-sided p by
+    Student's t, and the difference of means in percent; a metric with fewer than three pairs is left out.
     """
 
     def placed(df: DataFrame, name: str) -> DataFrame:
@@ -153,13 +179,17 @@ def tool_comparison(ours: DataFrame, theirs: DataFrame, metrics: list[str], orde
         return long.select("metric", at.alias("at"), F.col("value").alias(name))
 
     pairs = placed(ours, "a").join(placed(theirs, "b"), ["metric", "at"])
-    ranked = standing(standing(pairs, "a", ("metric",), "at_a"), "b", ("metric",), "at_b")
+    ranked = standings(pairs, ("metric",), a="at_a", b="at_b")
     ranked = ranked.withColumn("p", average_rank("at_a")).withColumn("q", average_rank("at_b"))
     got = ranked.groupBy("metric").agg(
         F.avg("a").alias("mean_a"), F.stddev_samp("a").alias("std_a"), F.avg("b").alias("mean_b"),
         F.stddev_samp("b").alias("std_b"), pearson(F.col("p"), F.col("q")).alias("rho"), F.count("*").alias("n"),
     ).where("n >= 3")
-    return got.select(
-        "metric", *(F.round(c, 4).alias(c) for c in ("mean_a", "std_a", "mean_b", "std_b", "rho")), "n",
+    free = F.col("n").cast("double") - 2
+    rho = F.col("rho")
+    # full agreement leaves no tail; a column of its own, before names are taken by rounded values
+    tail = F.when(F.abs(rho) >= 1, 0.0).otherwise(student_tail(rho * F.sqrt(free / ((1 - rho) * (1 + rho))), free))
+    return got.withColumn("p", tail).select(
+        "metric", *(F.round(c, 4).alias(c) for c in ("mean_a", "std_a", "mean_b", "std_b", "rho")), F.round("p", 6).alias("p"), "n",
         F.round(ratio(100 * (F.col("mean_b") - F.col("mean_a")), F.col("mean_a")), 2).alias("percent_difference"),
     )

@@ -196,25 +196,46 @@ def five_numbers(spark, sf_dir):
     return _rounded(got, "mean", "std", "median", "q1", "q3")
 
 
-@_query(f"""WITH {A.SHAPES}, long AS ({_long(_FOUR)}), ranked AS (
-  SELECT *, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS r FROM long), told AS (
+_TOLD = f"""WITH {A.SHAPES}, long AS ({_long(_FOUR)}), ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY metric, value) AS ties,
+    rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS r FROM long), told AS (
   SELECT metric, count(*) FILTER (kind = 'p') AS n1, count(*) FILTER (kind = 'q') AS n2, CAST(sum(r) FILTER (kind = 'p') AS DOUBLE) AS r1,
-    avg(value) FILTER (kind = 'p') AS m1, avg(value) FILTER (kind = 'q') AS m2, var_samp(value) FILTER (kind = 'p') AS v1,
-    var_samp(value) FILTER (kind = 'q') AS v2 FROM ranked GROUP BY metric), s AS (
-  SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS pooled FROM told)
-SELECT metric, n1, n2, round(u, 3) AS u, round(1 - 2 * u / (CAST(n1 AS DOUBLE) * n2), 6) AS rank_biserial, round((m1 - m2) / pooled, 6) AS cohens_d,
+    CAST(sum(ties * ties - 1) AS DOUBLE) AS tied, avg(value) FILTER (kind = 'p') AS m1, avg(value) FILTER (kind = 'q') AS m2,
+    var_samp(value) FILTER (kind = 'p') AS v1, var_samp(value) FILTER (kind = 'q') AS v2 FROM ranked GROUP BY metric), s AS (
+  SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, CAST(n1 + n2 AS DOUBLE) AS n, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS pooled FROM told)"""
+
+
+def _normal_sql(z: str) -> str:
+    """Two-sided tail, from the density between 0 and z in 20000 steps."""
+    return f"""greatest(1 - sqrt(2 / pi()) * {z} / 20000 * list_sum(list_transform(range(20000), lambda i: exp(-0.5 * pow({z} * (i + 0.5) / 20000, 2)))), 0.0)"""
+
+
+def _student_sql(t: str, v: str) -> str:
+    """Two-sided tail, from the density between 0 and t in 20000 steps."""
+    area = f"list_sum(list_transform(range(20000), lambda i: pow(1 + pow({t} * (i + 0.5) / 20000, 2) / {v}, -({v} + 1) / 2)))"
+    return f"greatest(1 - 2 * {t} / 20000 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * {area}, 0.0)"
+
+
+@_query(_TOLD + """ SELECT metric, n1, n2, round(u, 3) AS u, round(1 - 2 * u / (CAST(n1 AS DOUBLE) * n2), 6) AS rank_biserial, round((m1 - m2) / pooled, 6) AS cohens_d,
   round((m1 - m2) / (sqrt((v1 + v2) / 2) + 1e-12), 6) AS cohens_d_plain, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS welch_t,
   round((m1 - m2) / (pooled * sqrt(1.0 / n1 + 1.0 / n2)), 6) AS student_t FROM s""")
 def population_tests(spark, sf_dir):
-    got = stats.two_populations(A.shapes(spark, sf_dir), "kind", "p", "q", list(_FOUR)).drop("p", "p_adjusted", "significant")
+    got = stats.two_populations(A.shapes(spark, sf_dir), "kind", "p", "q", list(_FOUR))
+    got = got.drop("p", "p_adjusted", "significant", "welch_p", "student_p")
     return _rounded(_rounded(got, "u", digits=3), "rank_biserial", "cohens_d", "cohens_d_plain", "welch_t", "student_t")
 
 
-@_query()
+@_query(_TOLD + f""", z AS (
+  SELECT metric, greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0.0) / sqrt(n1 * n2 / 12.0 * (n + 1 - tied / (n * (n - 1)))) AS z,
+    abs(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS tw, abs(m1 - m2) / (pooled * sqrt(1.0 / n1 + 1.0 / n2)) AS ts, n - 2 AS vs,
+    pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS vw FROM s), p AS (
+  SELECT metric, {_normal_sql("z")} AS p, {_student_sql("tw", "vw")} AS welch_p, {_student_sql("ts", "vs")} AS student_p FROM z)
+SELECT metric, round(p, 6) AS p, round(least(p * count(p) OVER (), 1.0), 6) AS p_adjusted, round(welch_p, 6) AS welch_p, round(student_p, 6) AS student_p,
+  CASE WHEN least(p * count(p) OVER (), 1.0) < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM p""")
 def population_p_values(spark, sf_dir):
-    """p by normal approximation; no error function in the SQL at hand."""
+    """p of U by normal approximation, adjusted; p of either t."""
     got = stats.two_populations(A.shapes(spark, sf_dir), "kind", "p", "q", list(_FOUR))
-    return _rounded(got.select("metric", "p", "p_adjusted", "significant"), "p", "p_adjusted")
+    return _rounded(got.select("metric", "p", "p_adjusted", "welch_p", "student_p", "significant"), "p", "p_adjusted", "welch_p", "student_p")
 
 
 @_query("""SELECT event_type, value, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 8) AS share FROM events WHERE value IS NOT NULL""")
@@ -417,9 +438,11 @@ def import_objects(spark, sf_dir):
 
 @_query("""WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS place, CAST(p_size AS DOUBLE) AS a FROM part WHERE p_partkey % 2 = 0),
 b AS (SELECT row_number() OVER (ORDER BY p_partkey) AS place, CAST(p_size AS DOUBLE) AS b FROM part WHERE p_partkey % 2 = 1),
-r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS p, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS q FROM a JOIN b USING (place))
+r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS p, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS q FROM a JOIN b USING (place)),
+c AS (SELECT covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)) AS rho, CAST(count(*) - 2 AS DOUBLE) AS v FROM r), h AS (SELECT abs(rho) * sqrt(v / (1 - rho * rho)) AS t, v FROM c),
+tail AS (SELECT """ + _student_sql("t", "v") + """ AS tail FROM h)
 SELECT 'size' AS metric, round(avg(a), 4) AS mean_a, round(stddev_samp(a), 4) AS std_a, round(avg(b), 4) AS mean_b, round(stddev_samp(b), 4) AS std_b,
-  round(covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)), 4) AS rho, count(*) AS n, round(100 * (avg(b) - avg(a)) / avg(a), 2) AS percent_difference FROM r""")
+  round(covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)), 4) AS rho, round((SELECT tail FROM tail), 6) AS p, count(*) AS n, round(100 * (avg(b) - avg(a)) / avg(a), 2) AS percent_difference FROM r""")
 def tool_comparison(spark, sf_dir):
     part = A.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
     return stats.tool_comparison(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), ["size"], "p_partkey")

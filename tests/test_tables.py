@@ -300,3 +300,38 @@ def test_command_line_writes_tables_and_digests(spark, tmp_path, monkeypatch):
     (line,) = [r.value for r in spark.read.text(str(tmp_path / "out/manifest")).collect()]
     told = json.loads(line)
     assert told["counts"]["objects"] == 8 and set(told["outputs"]) == set(told["counts"]) and all(told["outputs"].values())
+
+
+def test_tails_of_distributions(spark):
+    """Against closed forms: the normal through erfc, t of 1, 2 and 4 degrees, and the normal as its limit."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from kinescape.functions.scalars import normal_tail, student_tail
+
+    rows = [(t, v) for t in (0.0, -0.3, 1.0, 2.5, 12.0) for v in (1.0, 2.0, 4.0, 1e7)]
+    df = spark.createDataFrame([*rows, (None, 2.0), (1.0, None), (1.0, 0.0)], "t double, v double")
+    got = df.select("t", "v", normal_tail(F.col("t")).alias("z"), student_tail(F.col("t"), F.col("v")).alias("p")).collect()
+    for r in got[: len(rows)]:
+        x, normal = abs(r.t), math.erfc(abs(r.t) / math.sqrt(2))
+        forms = {
+            1.0: 1 - 2 / math.pi * math.atan(x), 2.0: 1 - x / math.sqrt(2 + x * x),
+            4.0: 1 - (1.5 * x / math.sqrt(4 + x * x)) * (1 - x * x / (3 * (4 + x * x))), 1e7: normal,
+        }
+        assert r.z == pytest.approx(normal, rel=1e-6, abs=1e-15)
+        assert r.p == pytest.approx(forms[r.v], rel=1e-5, abs=1e-9)
+    assert got[len(rows)].z is None and all(r.p is None for r in got[len(rows):])
+
+
+def test_standing_of_values_of_any_size(spark):
+    """Ties, zeros, signs, powers of two and their neighbours, extremes and values that differ in the last bit."""
+    tiny, inf, nan = 5e-324, float("inf"), float("nan")
+    near = [np.nextafter(v, d) for v in (1.0, 2.0, 1024.0, 1e300) for d in (0.0, inf)]
+    values = [0.0, -0.0, 1.0, 1.0, 2.0, -2.0, 1024.0, 1e300, -1e300, tiny, -tiny, 1e-310, inf, -inf, nan, 1e9, 1e9 + 1, 1e9 + 1, *map(float, near)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0), ("b", None)], "k string, v double")
+    for r in stats.standing(df, "v", ("k",), "at").where("k = 'a'").collect():
+        less = len(values) - 1 if r.v != r.v else sum(v < r.v for v in values)
+        ties = 1 if r.v != r.v else values.count(r.v)
+        assert (r.at.below, r.at.ties) == (less, ties), r
+    assert {(r.v, r.at and r.at.below) for r in stats.standing(df, "v", ("k",), "at").where("k = 'b'").collect()} == {(3.0, 0), (None, None)}
