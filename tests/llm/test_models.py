@@ -215,3 +215,111 @@ def test_model_beats_a_smoothed_bigram_on_held_out_texts(spark):
     got = score(docs, crc_mod(F.col("doc_id"), 7) != 2, RANKS, P.PATTERN)
     told = docs.join(got, docs.doc_id == got.key).withColumn("held", crc_mod(F.col("doc_id"), 7) == 2).toPandas()
     assert told[told.held].score.sum() > bigram(told[~told.held].text, told[told.held].text)
+
+
+def counted(seed=3, size=6000):
+    """Vocabulary and cells where some ids are paired, some own a cell alone, and rare ones share cells."""
+    draw = np.random.default_rng(seed)
+    counts = np.maximum(draw.zipf(1.3, size + 1) % 1000, 1) * (np.arange(size + 1) < 5000)
+    counts[size] = 40
+    wide = min(attention.PAIRED, size)
+    pairs = draw.integers(0, 3, (wide, wide + 1)) * (draw.random((wide, wide + 1)) < 0.02)
+    words = attention.Vocabulary.made(
+        counts, counts, np.concatenate([pairs, pairs.sum(axis=1, keepdims=True)], axis=1),
+        draw.random((attention.OWN, attention.LEADERS)), counts[:size],
+    )
+    return words, attention.Cells.made(words, counts), draw
+
+
+def weights(draw):
+    p = attention.fresh()
+    return p | {"cells": draw.normal(0, 0.5, p["cells"].shape).astype(np.float32)}
+
+
+def wanting(words, cells, ids):
+    """A stream of one text, as the operator's reader makes it."""
+    full = -(-(len(ids) + 1) // attention.STEP) * attention.STEP
+    head, tail, wanted, cell, lead = (np.full(full, x, np.int32) for x in (attention.OWN + attention.SHARED,) * 2 + (-1, 0, len(cells.spare) - 1))
+    n = len(ids)
+    head[1 : n + 1], tail[2 : n + 1], lead[1 : n + 1] = words.row[ids], words.row[ids[:-1]], cells.lead[ids]
+    wanted[: n + 1], cell[: n + 1] = words.group[[*ids, words.end]], cells.cell[[*ids, words.end]]
+    return attention.Stream(head, tail, wanted, np.arange(full // attention.STEP) == 0, cell, lead)
+
+
+def test_the_network_gives_every_id_a_probability():
+    words, cells, draw = counted()
+    assert len(cells.alone) < words.end and (np.diff(cells.cuts) > 0).sum() > 32 and (cells.share < -0.1).any()
+    assert words.end == 6000 and (cells.lead == len(cells.spare) - 1).any()
+    ids = draw.integers(0, 6000, 40)
+    ids[4], ids[32] = np.flatnonzero(words.place[:-1] >= 0)[7], np.flatnonzero(words.place[:-1] < 0)[7]
+    s = wanting(words, cells, ids)
+    every = attention.Stream(*(np.tile(x, 6001) for x in (s.head, s.tail, s.wanted, s.begins, s.cell, s.lead)))
+    scorer = attention.Scorer(weights(draw), cells)
+    for place in (0, 5, 33):  # after the start, a paired id, one that is not
+        at = np.arange(6001) * len(s.head) + place
+        every.wanted[at], every.cell[at] = words.group, cells.cell
+        assert (10.0 ** (scorer.log10(every)[at] + cells.share)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_without_trained_weights_the_counts_of_pairs_remain():
+    words, cells, draw = counted()
+    p = attention.fresh() | {"out": np.zeros((attention.HIDDEN, attention.CLASSES), np.float32)}
+    one, two = np.flatnonzero(words.place[:-1] >= 0)[3:5]
+    got = attention.Scorer(p, cells).log10(wanting(words, cells, np.array([one, two])))
+    total = 10 ** words.pairs[words.place[one]].astype(float)
+    rest = 10 ** float(words.spare[words.place[one]]) * (10 ** words.follow[words.place < 0].astype(float)).sum()
+    assert got[1] == pytest.approx(np.log10(total[words.place[two]] / (total.sum() + rest)), abs=1e-3)
+
+
+def test_gradients_of_cells_match_differences():
+    words, cells, draw = counted(5)
+    p = {k: v.astype(np.float64) for k, v in weights(draw).items()}
+    s = wanting(words, cells, draw.integers(0, 5200, 150))
+    seen, own, wanted = s.runs(np.array([0, attention.RUN]))
+    assert (wanted >= 0).sum() == 151  # each place once, none past the stream's end
+    run = lambda q: attention.gradients(q, *seen, wanted, cells, s.cell[own], s.lead[own])
+    g = run(p)[1]
+    for name in p:
+        at = np.unravel_index(np.abs(g[name]).argmax(), p[name].shape)
+        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+        up[name][at] += 1e-4
+        down[name][at] -= 1e-4
+        assert g[name][at] == pytest.approx((run(up)[0] - run(down)[0]) / 2e-4, rel=2e-2, abs=2e-5), name
+
+
+@pytest.mark.parametrize("piece", [1, 2, 1 << 18])
+def test_pairs_of_ids_equal_plain_counts(monkeypatch, piece):
+    from kinescape.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "PIECE_WORDS", piece)
+    codes = encoder(RANKS, P.PATTERN)
+    texts = [t for _, t in EDGES] + ["Alpha qzxvomega don't, alpha", "one", ""]
+    learn = [i % 3 != 1 for i in range(len(texts))]
+    row = lm_score._block_row(0, list(range(len(texts))), learn, texts, codes)
+    got = collections.Counter()
+    for one, two, times in lm_score._followed(row, codes.size):
+        for a, b, n in zip(one.tolist(), two.tolist(), [1] * len(one) if times is None else times.tolist(), strict=True):
+            got[a, b] += n
+    want = collections.Counter()
+    for text, taught in zip(texts, learn, strict=True):
+        ids = [x for w in words_of(text) for x in codes.words([w.decode()])[0].tolist()] + [codes.size]
+        if taught:
+            want.update(zip(ids[:-1], ids[1:], strict=True))
+    assert +got == want
+
+
+def test_words_before_change_the_ids_inside_words(spark):
+    # both words begin with the same ids; which one follows is told by the word before
+    rows = [(i, " ".join(["left qzxvalpha", "right qzxvomega"][(i + j) % 2] for j in range(40))) for i in range(1, 400)]
+    asked = [(1000, "left qzxvalpha"), (1001, "right qzxvomega"), (1002, "left qzxvomega"), (1003, "right qzxvalpha")]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string").coalesce(1)
+    got = {r.key: r.score for r in score(docs, F.col("doc_id") < 1000, RANKS, P.PATTERN).collect()}
+    assert got[1000] + got[1001] > got[1002] + got[1003] + 0.3
+
+
+@needs_data
+def test_attention_adds_to_the_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet(DOCS.replace("0.001", "0.01"))
+    got = score(docs, crc_mod(F.col("doc_id"), 7) != 2, RANKS, P.PATTERN)
+    told = docs.join(got, docs.doc_id == got.key).withColumn("held", crc_mod(F.col("doc_id"), 7) == 2).toPandas()
+    assert told[told.held].score.sum() > 0.98 * bigram(told[~told.held].text, told[told.held].text)
