@@ -323,3 +323,38 @@ def test_attention_adds_to_the_counts_on_held_out_texts(spark):
     got = score(docs, crc_mod(F.col("doc_id"), 7) != 2, RANKS, P.PATTERN)
     told = docs.join(got, docs.doc_id == got.key).withColumn("held", crc_mod(F.col("doc_id"), 7) == 2).toPandas()
     assert told[told.held].score.sum() > 0.98 * bigram(told[~told.held].text, told[told.held].text)
+
+
+def test_ids_that_precede_the_same_do_not_all_share_a_class():
+    # a place costs as many scores as its class has cells
+    draw = np.random.default_rng(8)
+    counts = np.sort(draw.zipf(1.2, 6000) % 100_000 + 1)[::-1]
+    after = np.ones((attention.OWN, attention.LEADERS))
+    after[::3] += draw.random((len(after[::3]), attention.LEADERS))
+    group = attention._grouped(counts, after)
+    sizes = np.bincount(group[: attention.OWN], minlength=attention.CLASSES)
+    assert sizes[-attention.RARE :].sum() == 0 and (sizes > 0).sum() > attention.CLASSES // 2
+    assert (counts[: attention.OWN] * sizes[group[: attention.OWN]]).sum() < attention.OWN / 64 * counts[: attention.OWN].sum()
+    paired = np.bincount(group[: attention.PAIRED], minlength=attention.CLASSES)
+    assert ((paired == 0) | (paired == sizes)).all()
+
+
+def test_steps_of_rows_that_a_batch_does_not_see_equal_plain_steps():
+    words, cells, draw = counted(7)
+    s = wanting(words, cells, draw.integers(0, 5200, 900))
+    p = weights(draw)
+    learner = attention.Learner(p, 4e-3, cells)
+    learner.learn(s, batch=16)
+    q, starts = {k: v.astype(np.float64) for k, v in p.items()}, np.arange(0, len(s.begins), attention.RUN)
+    one, two = ({k: np.zeros_like(v) for k, v in q.items()} for _ in range(2))
+    starts = np.random.default_rng(len(s.begins)).permutation(starts)
+    for t, at in enumerate(range(0, len(starts), 2), 1):
+        seen, own, wanted = s.runs(starts[at : at + 2])
+        for k, d in attention.gradients(q, *seen, wanted, cells, s.cell[own], s.lead[own])[1].items():
+            fast = k in ("head", "tail", "cells")
+            one[k] = d if fast else 0.9 * one[k] + 0.1 * d
+            two[k] = 0.99 * two[k] + 0.01 * d * d
+            q[k] -= 4e-3 * one[k] / (1 if fast else 1 - 0.9**t) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-8)
+    assert learner.t == t > 3
+    for k in q:
+        assert np.median(np.abs(learner.p[k] - q[k])) < 1e-5 and np.mean(np.abs(learner.p[k] - q[k]) > 1e-3) < 0.01, k
