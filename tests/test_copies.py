@@ -106,3 +106,16 @@ def test_linked_copies(spark):
     got = linking.link_adjacent(points(spark, [[(0, 0)] * 3, [(0, 1)] * 2, [(0, 2)]]), 3.0).toPandas().sort_values(["frame", "ordinal"])
     assert list(got.track_id) == [0, 1, 2, 0, 1, 0] and list(got.current_count) == [0, 0, 0, 3, 3, 2]
     assert list(got.link_status) == ["start"] * 3 + ["ambiguous"] * 3 and list(got.previous_count) == [0, 0, 0, 2, 2, 1]
+
+
+def test_ripley_meets_places_and_weighs_their_points(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 4)
+    draw = np.random.default_rng(8)
+    at = draw.integers(0, 5, (90, 2)).astype(float)
+    df = spark.createDataFrame([("f", i, *p) for i, p in enumerate(at.tolist())], "frame string, point_id long, x double, y double")
+    met, plain = [], spatial._blocks
+    monkeypatch.setattr(spatial, "_blocks", lambda placed, *rest: met.append(placed.count()) or plain(placed, *rest))
+    got = spatial.ripley(df, [0.0, 1.0, 2.0, 3.5], 25.0).orderBy("radius").toPandas().k.tolist()
+    far = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))[~np.eye(90, dtype=bool)]
+    assert got == pytest.approx([25.0 / 90**2 * (far <= r).sum() for r in (0.0, 1.0, 2.0, 3.5)])
+    assert met == [len(np.unique(at, axis=0))]
